@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 The words of a batch are laid out once, each distinct word a chain of symbols. An inverted index leads from a merge rank
-(of a token pair) to the positions where that pair stands, over all words. Ranks are replayed in ascending order; a merge
-touches only the two pairs beside it. A merge that makes a pair of a smaller rank is followed by that pair first, so each
-word gets exactly the merges that encoding it alone would apply, leftmost first.
+(of a token pair) to the positions where that pair stands, over all words. Ranks are replayed in ascending order, each
+merge at all its positions at once, and only the two pairs beside a merged one are looked up again. Where a merge can make
+a pair of a smaller rank, only the leftmost position of each word is taken at first, so each word gets exactly the merges
+that encoding it alone would apply.
 
-Whole texts are then put together from their words. Words already encoded are kept in a table of bounded size.
+Whole texts are then put together from their pieces. Pieces already encoded are kept in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -13,21 +14,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import PairMap, pieces, texts
 
-#: Words that an encoder keeps encoded; the table is emptied when it holds more.
-KEPT_WORDS = 400_000
-#: Words of more characters are encoded but not kept.
-KEPT_LENGTH = 64
+#: Pieces that an encoder keeps encoded; the table is emptied when it holds more.
+KEPT_PIECES = 500_000
+#: Pieces of more characters are encoded but not kept.
+KEPT_LENGTH = 48
 _OWN: dict[tuple[str, str], "ByteBPE"] = {}
 
 
@@ -36,107 +39,159 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class PairTable(PairMap):
+    """From two token ids to the rank that they merge into."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    found.append((a, b, rank))
+        a, b, rank = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        super().__init__(a, b, rank)
+        #: Ranks whose merge can make a pair of a smaller rank.
+        self.unordered = set(a[rank < a].tolist()) | set(b[rank < b].tolist())
+
+
 class ByteBPE:
     """Encoder and decoder over one rank file and one pattern that splits texts into words."""
 
-    def __init__(self, path: str, pattern: str, kept: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str, pattern: str, kept: int = KEPT_PIECES) -> None:
         self.ranks = load_ranks(path)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.decimal = [str(i) for i in range(len(self.tokens))]
-        self.bytes_to_id = [self.ranks[bytes([b])] for b in range(256)]
+        self.of_decimal = {str(i): token for i, token in enumerate(self.tokens)}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.table = PairTable(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Encoded pieces, as decimal ids joined by commas. A key stands for the piece after one space, or, behind a NUL, for itself.
+        self.known: dict[str, str] = {}
         self.kept = kept
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank that the pair merges into, or -1."""
-        if a < 0 or b < 0:
-            return -1
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 4 * self.kept:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
 
     def replay(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct word."""
         out: dict[str, tuple[int, ...]] = {}
-        symbols, starts, open_words = [-1], [], []
-        to_id, pair = self.bytes_to_id, self.pair
+        open_words, raws = [], []
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
-            if whole is not None:
-                out[word] = (whole,)
+            if whole is not None or not raw:
+                out[word] = (whole,) if raw else ()
             else:
                 open_words.append(word)
-                starts.append(len(symbols))
-                symbols += [to_id[b] for b in raw]
-                symbols.append(-1)
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        index: dict[int, list[int]] = defaultdict(list)
-        for i in range(len(symbols) - 1):
-            rank = pair(symbols[i], symbols[i + 1])
-            if rank >= 0:
-                index[rank].append(i)
-        heap = list(index)
-        heapq.heapify(heap)
+                raws.append(raw)
+        if not raws:
+            return out
+        sizes = np.array([len(x) for x in raws])
+        starts = np.cumsum(sizes + 1) - sizes  # a wall of -1 before each word and after the last
+        n = int(sizes.sum() + len(sizes) + 1)
+        symbols = np.full(n, -1, dtype=np.int64)
+        inside = np.ones(n, dtype=bool)
+        inside[starts - 1] = inside[-1] = False
+        symbols[inside] = self.byte_ids[np.frombuffer(b"".join(raws), dtype=np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[-1] = n - 1
+        rank_at = np.full(n, -1, dtype=np.int64)  # of the pair that begins here
+        rank_at[:-1] = self.table.get(symbols[:-1].copy(), symbols[1:].copy())
+        index: dict[int, list[np.ndarray]] = defaultdict(list)
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            first = np.concatenate(([0], cuts)) if len(ranks) else cuts
+            for rank, chunk in zip(ranks[first].tolist(), np.split(places, cuts), strict=False):
+                if rank >= 0:
+                    if rank not in index:
+                        heapq.heappush(heap, rank)
+                    index[rank].append(chunk)
+
+        enter(np.flatnonzero(rank_at >= 0), rank_at[rank_at >= 0])
         while heap:
             rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if not places:
+            held = index.pop(rank)
+            places = np.unique(np.concatenate(held)) if len(held) > 1 else np.sort(held[0])
+            places = places[rank_at[places] == rank]
+            if not len(places):
                 continue
-            places.sort()
-            for k, i in enumerate(places):
-                j = after[i]
-                if symbols[i] < 0 or pair(symbols[i], symbols[j]) != rank:
-                    continue
-                symbols[i], symbols[j] = rank, -2
-                after[i] = right = after[j]
-                before[right] = i
-                left, smaller = before[i], False
-                for at, new in ((left, pair(symbols[left], rank)), (i, pair(rank, symbols[right]))):
-                    if new >= 0:
-                        if new not in index:
-                            heapq.heappush(heap, new)
-                        index[new].append(at)
-                        smaller |= new < rank
-                if smaller and k + 1 < len(places):
-                    if rank not in index:
-                        heapq.heappush(heap, rank)
-                    index[rank] += places[k + 1 :]
-                    break
-        for word, start in zip(open_words, starts, strict=True):
-            ids, at = [], start
-            while symbols[at] != -1:
-                ids.append(symbols[at])
-                at = after[at]
-            out[word] = tuple(ids)
+            if rank in self.table.unordered or (rank_at[after[places]] == rank).any():
+                # the leftmost of each word only: its merge may make a pair that comes before the others of this rank
+                word = np.searchsorted(starts, places, side="right")
+                first = np.concatenate(([True], word[1:] != word[:-1]))
+                if not first.all():
+                    enter(places[~first], np.full(int((~first).sum()), rank))
+                    places = places[first]
+            gone = after[places]
+            right = after[gone]
+            symbols[places], symbols[gone], rank_at[gone] = rank, -2, -1
+            after[places], before[right] = right, places
+            at = np.concatenate((before[places], places))
+            at = np.unique(at[symbols[at] >= 0])
+            new = self.table.get(symbols[at], symbols[after[at]])
+            rank_at[at] = new
+            enter(at, new)
+        live = symbols >= 0
+        ids = symbols[live].tolist()
+        ends = np.cumsum(live)[starts + sizes - 1].tolist()
+        start = 0
+        for word, end in zip(open_words, ends, strict=True):
+            out[word] = tuple(ids[start:end])
+            start = end
         return out
 
-    def encode_batch(self, batch: list[str]) -> Iterator[list[int]]:
-        """Ids of each text, by replaying the merges over all words of the batch that are not yet known."""
-        split = [self.find(text) for text in batch]
-        if len(self.words) > self.kept:
-            self.words.clear()
-        known = self.words
-        new = self.replay(set(chain.from_iterable(split)).difference(known))
-        long = {w: new.pop(w) for w in [w for w in new if len(w) > KEPT_LENGTH]}
-        known.update(new)
+    def _cut(self, text: str) -> list[str]:
+        """Pieces, as keys of ``known``, at which the pattern cuts in any case.
+
+        A space or a line break between two characters that aren't white space always begins a match, or is one.
+        """
+        if LOOSE(text) or "\0" in text:
+            # the pattern looks past white space here: cut the text itself
+            return ["\0" + word for word in self.find(text)]
+        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+
+    def encode_decimal(self, batch: list[str]) -> Iterator[str]:
+        """Decimal ids of each text, joined by commas, by replaying the merges over all words of the batch not yet known."""
+        split = [self._cut(text) if text else [] for text in batch]
+        if len(self.known) > self.kept:
+            self.known = {}
+        known = self.known
+        fresh = set(chain.from_iterable(split)).difference(known)
+        long: dict[str, str] = {}
+        if fresh:
+            parts = {key: self.find(key[1:] if key[:1] == "\0" else " " + key) for key in fresh}
+            as_key = {word: word[1:] if word[:1] == " " and len(word) > 1 else "\0" + word for word in set(chain.from_iterable(parts.values()))}
+            ids = {word: ",".join(map(str, x)) for word, x in self.replay([w for w, key in as_key.items() if key not in known]).items()}
+            for word, key in as_key.items():
+                if word not in ids:
+                    ids[word] = known[key]
+                elif len(key) <= KEPT_LENGTH:
+                    known[key] = ids[word]
+            for key, words in parts.items():
+                (known if len(key) <= KEPT_LENGTH else long)[key] = ",".join(map(ids.__getitem__, words))
         for words in split:
             if long:
-                yield list(chain.from_iterable(known.get(w) or long[w] for w in words))
+                yield ",".join([long[w] if w in long else known[w] for w in words])
             else:
-                yield list(chain.from_iterable(map(known.__getitem__, words)))
+                yield ",".join(map(known.__getitem__, words))
+
+    def encode_batch(self, batch: list[str]) -> Iterator[list[int]]:
+        for ids in self.encode_decimal(batch):
+            yield list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_decimal(self, ids: list[str]) -> bytes:
+        return b"".join(map(self.of_decimal.__getitem__, ids))
+
+
+#: White space where the pattern may look past it: at either end, or two in a row.
+LOOSE = re.compile(r"\A\s|\s\s|\s\Z|[^\S \n]").search
+
 
 def encoder(path: str, pattern: str) -> ByteBPE:
     """One encoder for each worker process."""
@@ -186,10 +241,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
         bpe = encoder(path, pattern)
         for batch in pieces(batches, "text", 4 << 20):
             counts, ids_digest, decoded_digest = [], [], []
-            for ids in bpe.encode_batch(texts(batch.column(1))):
+            for joined in bpe.encode_decimal(texts(batch.column(1))):
+                ids = joined.split(",") if joined else []
                 counts.append(len(ids))
-                ids_digest.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded_digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                ids_digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded_digest.append(hashlib.sha256(bpe.decode_decimal(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(decoded_digest, pa.string())],
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -205,7 +261,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, *, text: str = "text", key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in pieces(batches, "text", 4 << 20):
-            counts = [len(ids) for ids in bpe.encode_batch(texts(batch.column(1)))]
+            counts = [ids.count(",") + 1 if ids else 0 for ids in bpe.encode_decimal(texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -78,3 +78,110 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+class PairMap:
+    """Open-addressing table from two non-negative numbers below 2**31 to a third."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        keys = (a.astype(np.int64) << 32) | b.astype(np.int64)
+        self.bits = max(10, int(4 * len(keys)).bit_length())
+        mask = (1 << self.bits) - 1
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.steps = 1
+        left, held, slot = keys, values.astype(np.int64), self.slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            at, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[at], self.values[at] = left[take], held[take]
+            rest = np.ones(len(left), dtype=bool)
+            rest[take] = False
+            left, held, slot = left[rest], held[rest], (slot[rest] + 1) & mask
+            self.steps += 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The value of each pair, or -1; negative numbers are in no pair."""
+        keys = (a.astype(np.int64) << 32) | b.astype(np.int64)
+        keys[(a < 0) | (b < 0)] = -2
+        slot, mask = self.slots(keys), (1 << self.bits) - 1
+        out = np.full(len(keys), -1, dtype=np.int64)
+        at = np.arange(len(keys))
+        for _ in range(self.steps):
+            held = self.keys[slot]
+            hit = held == keys
+            out[at[hit]] = self.values[slot[hit]]
+            more = ~hit & (held >= 0)
+            if not more.any():
+                break
+            at, keys, slot = at[more], keys[more], (slot[more] + 1) & mask
+        return out
+
+
+#: Odd multiplier of word_hashes and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and INVERSE**i for i below n, modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, x in (("up", BASE), ("down", INVERSE)):
+            steps = np.full(n, x, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a text column; a null is an empty text."""
+    wide = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and len(data) else np.empty(0, dtype=np.uint8)
+    return raw, at - at[0]
+
+
+def word_table(is_word: np.ndarray) -> np.ndarray:
+    """For each byte: 0 outside words, else the byte, A-Z lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[~is_word] = 0
+    return table
+
+
+class Words:
+    """Words of many texts at once: starts, ends (byte offsets), hashes, and first (of each text, the index of its first word)."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
+        low = table[raw]
+        inside = np.zeros(len(raw) + 2, dtype=np.int8)
+        inside[1:-1] = low != 0
+        step = np.diff(inside)
+        begins, ends = step == 1, step == -1
+        # a text's end ends its last word, though the next text begins with one
+        cut = offsets[1:-1]
+        cut = cut[(cut > 0) & (cut < len(raw))]
+        cut = cut[(low[cut - 1] != 0) & (low[cut] != 0)] if len(cut) else cut
+        begins[cut] = ends[cut] = True
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        up, down = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(low.astype(np.uint64) * up[: len(raw)], out=sums[1:])
+        mixed = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        self.hashes = mix(mixed + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.first = np.searchsorted(self.starts, offsets)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads all bits."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
