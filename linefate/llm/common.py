@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import uuid
@@ -55,6 +56,12 @@ def materialized(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; null becomes the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -8,8 +8,8 @@ among their first ``n - ceil(n * percent / 100) + 1``, so those postings alone a
 1. Postings of one shingle form a star round their least node. Stars whose centres recur are verified: this joins large
    groups of near copies by one check a member instead of one a pair.
 2. Postings whose nodes still lie in different components give the remaining pairs. Their common prefix shingles are
-   counted, and with the places of the last one bound what the rest can add (remaining-length bound); what the bound
-   leaves is verified.
+   counted; with the prefixes' lengths and the places of the last common shingle they bound what the rest can add
+   (remaining-length bound), as all of a set up to its prefix's end is known. What the bound leaves is verified.
 
 Verification stores the sets to be compared with one node as a prefix tree (their sorted order with the lengths of common
 beginnings), walks it once with that node's set, shares the overlap of a common beginning among all sets below it and
@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, flat, materialized, mix, pieces, scratch, word_table
+from .common import Words, flat, materialized, mix, pieces, release, scratch, word_table
 from .components import components
 
 NGRAM = 5
@@ -344,7 +344,9 @@ def _crossing(postings: DataFrame, percent: int) -> DataFrame:
     dealt = postings.repartition("gram").sortWithinPartitions("gram", "n", "node")
     found = dealt.mapInArrow(run, "a long, b long, na long, nb long, ia long, ib long, c long")
     whole = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.sum("c").alias("c"))
-    left = F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    # one of the two prefixes ends first; beyond its end, and beyond the other's last common shingle, all may be common
+    beyond = lambda n: F.ceil(F.col(n) * percent / 100).cast("long") - 1
+    left = F.greatest(F.least(beyond("na"), F.col("nb") - F.col("ib") - 1), F.least(F.col("na") - F.col("ia") - 1, beyond("nb")))
     # overlap >= (na + nb) * p / (100 + p), in whole numbers
     return whole.where((F.col("c") + left) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
@@ -375,6 +377,7 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     own = survey.where("node is not null").select("doc_id", "node", "n")
     classes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     stars = materialized(_stars(_postings(docs, common, ngram, percent)), "stars")
+    release(spark)
     # stars: centres of the groups of one shingle have a star of their own
     centres = stars.where("kind = 2").select("gram", "node", "n").distinct()
     top = centres.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("top"))
@@ -383,6 +386,7 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     # which star pairs are tried is a matter of speed: those that share a quarter of a prefix
     tried = stars_0.groupBy("node", "other").agg(F.sum("count").alias("count"), F.max("n").alias("n")).where(F.col("count") * 100 >= F.col("n") * (100 - percent) / 4)
     links = _verified(tried.select(F.col("node").alias("a"), F.col("other").alias("b")), docs, classes, ngram, percent)
+    release(spark)
     labels = components(links)
     labels = materialized(labels, "labels")
     placed = stars.where("kind = 1").select("gram", "node", "n", F.col("count").alias("pos")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
