@@ -325,10 +325,7 @@ def _crossing(postings: DataFrame, percent: int) -> DataFrame:
                 least = np.searchsorted(n[lo:hi], -(-n[lo:hi] * percent // 100)) + lo
                 for i in range(lo + 1, hi):
                     j = np.arange(least[i - lo], i)
-                    j = j[label[j] != label[i]]
-                    if len(j):
-                        need = -(-(n[i] + n[j]) * percent // (100 + percent))
-                        j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need]
+                    j = j[(label[j] != label[i]) & (node[j] != node[i])]
                     if len(j):
                         a, b = np.full(len(j), i), j
                         swap = node[a] < node[b]
