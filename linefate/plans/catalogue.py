@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..constants import GENERATED_PATH_PATTERNS, LANGUAGES, SWEEP_THRESHOLDS
 from ..functions import text
-from ..operators import correspond, grading, history, lines, store, survival, turnbull
+from ..operators import compare, correspond, grading, history, lineage, lines, store, survival, turnbull
+from ..sources import snapshots
+from ..streaming import record
 from . import domain
 from .domain import CHAIN, LINES, STORE, VERSIONS, history_sql, read
 
@@ -487,3 +489,39 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GRADE} SELECT deciding_layer, count(*) AS n FROM gr WHERE verdict <> 'correct' GROUP BY 1")
 def errors_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.errors_by_layer(_graded(spark, sf_dir)[0])
+
+
+# lineage over versions
+
+
+def _chain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as repositories of one file each, turns as versions, as plain text."""
+    c = domain.chain(spark, sf_dir)
+    tree = c.select(F.col("conv_id").alias("repo"), "ord", F.lit("file").alias("path"), "content_id")
+    return snapshots.plain_lines(tree, c.groupBy("content_id").agg(F.min("text").alias("content")))
+
+
+@query()
+def file_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions between consecutive versions of every conversation's file."""
+    out = compare.decisions(_chain_tree(spark, sf_dir))
+    return out.groupBy("state", "layer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 6).alias("similarity"))
+
+
+@query()
+def traced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many versions each line lives through."""
+    folder = lineage.work_folder(spark)
+    tree = lineage._written(_chain_tree(spark, sf_dir), folder)
+    decided = lineage._written(compare.decisions(tree), folder)
+    ids = lineage.identities(tree, decided, folder=folder)
+    lived = ids.groupBy("repo", "birth_ord", "birth_path", "birth_line").agg(F.count(F.lit(1)).alias("versions"))
+    return lived.groupBy("versions").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query()
+def recorded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as write events on one Python file for each conversation."""
+    c = read(spark, sf_dir, "conversations")
+    e = c.select(F.concat(F.lit("s"), F.col("conv_id") % 5).alias("session_id"), F.lit(None).cast("string").alias("model"), F.lit("Write").alias("tool_name"), F.concat(F.lit("src/f"), "conv_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("committed"), F.col("turn").alias("at"), F.col("turn").alias("seq"))
+    return record.replay(e).groupBy("kind", "state", "layer", "origin").agg(F.count(F.lit(1)).alias("n"))
