@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import flat, held_out, pieces, scratch, texts
 
 #: Labelled rows of each label that are learned from at most; texts of more characters are not learned from (they are scored).
-LEARN_ROWS = 2500
+LEARN_ROWS = 1500
 LEARN_TEXT_CHARS = 20_000
 #: Words of the learned lexicon at most, and documents that must hold one.
 LEARNED_WORDS = 400
-LEARNED_LEAST = 6
+LEARNED_LEAST = 3
 #: Beginnings of words, of these lengths, are entries too: they stand for a word with any ending.
 BEGINNINGS = (4, 5, 6, 7)
 #: Mild general insults and threats; a parameter, not fixed values.
@@ -139,8 +139,10 @@ class Trees:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
+        if not len(x):
+            x = np.zeros((1, x.shape[1]))
         self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)], axis=1)
+        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)], axis=1)[: len(y)]
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
         self.start = float(np.log(share / (1 - share)))
         self.trees: list[list[tuple[int, int, float]]] = []
@@ -228,30 +230,62 @@ class Model:
         self.features = Features(self.learned)
 
 
+def _held(text: str) -> set[str]:
+    """Lexicon entries that a text has."""
+    return {e for w in set(LETTERS.findall(text.lower())) for e in entries(w)} | {plain(p) for p in set(text.split()) if not p.isalpha()}
+
+
+def learned_lexicon(texts: list[str], y: np.ndarray) -> dict[str, float]:
+    """Log-odds of the words, and beginnings of words, that toxic texts hold clearly more often than others.
+
+    Toxic texts are counted first; of the others only what is frequent there, so few counts are held at once.
+    """
+    n = {label: int((y == label).sum()) for label in (0, 1)}
+    bad: Counter[str] = Counter()
+    for text, v in zip(texts, y, strict=True):
+        if v == 1:
+            bad.update(_held(text))
+    frequent = {w: k for w, k in bad.items() if k >= max(LEARNED_LEAST, n[1] // 80) and len(w) > 1}
+    del bad
+    other: Counter[str] = Counter()
+    for text, v in zip(texts, y, strict=True):
+        if v == 0:
+            other.update(_held(text).intersection(frequent))
+    odds: dict[str, float] = {}
+    for w, k in frequent.items():
+        value = float(np.log((k + 0.5) / (n[1] + 1)) - np.log((other[w] + 0.5) / (n[0] + 1)))
+        if value > 1.5 and value > 2.5 * np.sqrt(1 / (k + 0.5) + 1 / (other[w] + 0.5)):
+            odds[w] = value
+    return dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:LEARNED_WORDS])
+
+
 def learn(sample: list[tuple[str, int]], totals: dict[int, int]) -> Model:
-    """A model from (text, 0 or 1) and the number of training rows of each label."""
+    """A model from (text, 0 or 1) and the number of training rows of each label.
+
+    A text's features must not come from a lexicon that it helped to learn, nor its margin for the isotonic fit from trees
+    that saw it. So both are learned on either half of the sample for the other; the final lexicon and trees are learned on
+    all of it.
+    """
+    sample = list(dict.fromkeys(sample))
     y = np.array([label for _, label in sample], dtype=float)
-    fold = np.arange(len(sample)) % 10
-    grow, calibrate = fold < 7, fold >= 7
-    words = [{e for w in set(LETTERS.findall(text.lower())) for e in entries(w)} | {plain(p) for p in set(text.split()) if not p.isalpha()} for text, _ in sample]
-    seen = {label: Counter(w for own, v, g in zip(words, y, fold, strict=True) if v == label and g < 4 for w in own) for label in (0, 1)}
-    n = {label: max(1, int(((y == label) & (fold < 4)).sum())) for label in (0, 1)}
-    odds = {w: float(np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))) for w, k in seen[1].items() if k >= max(LEARNED_LEAST, n[1] // 80) and len(w) > 1}
-    learned = dict(sorted(((w, v) for w, v in odds.items() if v > 1.5), key=lambda x: (-x[1], x[0]))[:LEARNED_WORDS])
-    model = Model(learned)
+    halves = [np.arange(len(sample)) % 2 == k for k in (0, 1)]
+    content = [text for text, _ in sample]
+    model = Model(learned_lexicon(content, y))
     model.share = totals.get(1, 0) / max(1, sum(totals.values()))
     model.trees, model.knots, model.values = Trees(), np.empty(0), np.empty(0)
-    if len(set(y.tolist())) < 2:
+    if any(len(set(y[h].tolist())) < 2 for h in halves):
         model.trees.fit(np.zeros((0, len(NAMES))), np.zeros(0))
-        model.share = float(y.mean()) if len(y) else 0.0
         return model
-    x = model.features(pa.array([text for text, _ in sample], pa.string()))
-    # the lexicon's own rows would look too easy to the trees
-    use = grow & (fold >= 2)
-    model.trees.fit(x[use], y[use])
+    x = np.zeros((len(sample), len(NAMES)))
+    for own, other in (halves, halves[::-1]):
+        lexicon = learned_lexicon([t for t, use in zip(content, other, strict=True) if use], y[other])
+        x[own] = Features(lexicon)(pa.array([t for t, use in zip(content, own, strict=True) if use], pa.string()))
+    margin = np.zeros(len(sample))
+    for own, other in (halves, halves[::-1]):
+        margin[own] = Trees().fit(x[other], y[other]).margin(x[own])
+    model.trees.fit(x, y)
     weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    margin = model.trees.margin(x)
-    model.knots, model.values = isotonic(margin[calibrate], y[calibrate], weight[calibrate])
+    model.knots, model.values = isotonic(margin, y, weight)
     return model
 
 
