@@ -17,6 +17,7 @@ lost executor's task is simply run again. The name that a finished task returns
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,7 +41,7 @@ FRAME_BYTES = 1 << 20
 #: Documents of a shard; a shard's table is held in memory while it is written.
 SHARD_DOCS = 100_000
 #: Encoded chunks that a worker keeps.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 600_000
 KEPT_LENGTH = 48
 _OWN: dict[tuple[str, int], "ChunkEncoder"] = {}
 
@@ -62,15 +63,24 @@ class ChunkEncoder:
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [text.replace("\n", " ").split(" ") for text in batch]
+        split = [(text if FAR(text) else text.lower()).replace("\n", " ").split(" ") for text in batch]
         if len(self.known) > KEPT_CHUNKS:
             self.known = {}
         known, long = self.known, {}
-        fresh = list(set(chain.from_iterable(split)).difference(known))
-        for start in range(0, len(fresh), 20_000):
-            part = fresh[start : start + 20_000]
+        fresh = set(chain.from_iterable(split)).difference(known)
+        # a run of letters and the marks behind it are words of their own, so the run is encoded once for all marks
+        parts: dict[str, tuple[str, str]] = {}
+        for chunk in fresh:
+            run = chunk.rstrip(".,;:!?")
+            if run != chunk and run.isalpha():
+                parts[chunk] = run, chunk[len(run) :]
+        todo = list({*fresh.difference(parts), *chain.from_iterable(parts.values())}.difference(known))
+        for start in range(0, len(todo), 20_000):
+            part = todo[start : start + 20_000]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 (known if len(chunk) <= KEPT_LENGTH else long)[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        for chunk, (run, marks) in parts.items():
+            (known if len(chunk) <= KEPT_LENGTH else long)[chunk] = b"".join([long[x] if x in long else known[x] for x in (run, marks)])
         if long:
             return [b"".join([long[c] if c in long else known[c] for c in chunks]) + self.end for chunks in split]
         return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
