@@ -126,9 +126,8 @@ def agent_trailer(message: Column, address: str, footers: tuple[str, ...], foote
     values = F.transform(F.filter(held, lambda x: x.rlike(key)), lambda x: F.trim(F.regexp_replace(x, key, "")))
     named = F.filter(values, lambda x: F.lower(x).endswith(address.lower()))
     plain = F.transform(F.filter(held, lambda x: ~x.rlike(key)), lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", "")))
-    footed = F.lit(False)
-    for footer in footers:
-        footed = footed | F.exists(plain, lambda x, f=footer: x.startswith(f.lower()))
+    starts = F.array(*[F.lit(footer.lower()) for footer in footers]).cast("array<string>")
+    footed = F.exists(plain, lambda x: F.exists(starts, lambda y: F.startswith(x, y)))
     return F.coalesce(F.substring(F.try_element_at(named, F.lit(1)), 1, TRAILER_CHARS), F.when(footed, footer_value))
 
 
