@@ -6,6 +6,8 @@ merge at all its positions at once, and only the two pairs beside a merged one a
 a pair of a smaller rank, only the leftmost position of each word is taken at first, so each word gets exactly the merges
 that encoding it alone would apply.
 
+A word of more than LONG_WORD bytes is replayed by itself, its pairs in order of rank and place.
+
 Whole texts are then put together from their pieces. Pieces already encoded are kept in a table of bounded size.
 """
 
@@ -31,6 +33,8 @@ from .common import PairMap, pieces, texts
 KEPT_PIECES = 500_000
 #: Pieces of more characters are encoded but not kept.
 KEPT_LENGTH = 48
+#: Words of more bytes are replayed one by one.
+LONG_WORD = 192
 _OWN: dict[tuple[str, str], "ByteBPE"] = {}
 
 
@@ -80,6 +84,8 @@ class ByteBPE:
             whole = self.ranks.get(raw)
             if whole is not None or not raw:
                 out[word] = (whole,) if raw else ()
+            elif len(raw) > LONG_WORD:
+                out[word] = self.replay_long(raw)
             else:
                 open_words.append(word)
                 raws.append(raw)
@@ -143,6 +149,39 @@ class ByteBPE:
             start = end
         return out
 
+    def replay_long(self, raw: bytes) -> tuple[int, ...]:
+        """Ids of one long word: its pairs wait in order of rank and place, so time grows little faster than the word."""
+        ranks, tokens = self.ranks, self.tokens
+        symbols: list[int] = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)].tolist()
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[tuple[int, int], int] = {}
+
+        def rank(i: int) -> int:
+            j = after[i]
+            if i < 0 or j >= n:
+                return -1
+            pair = symbols[i], symbols[j]
+            if pair not in known:
+                known[pair] = ranks.get(tokens[pair[0]] + tokens[pair[1]], -1)
+            return known[pair]
+
+        waiting = [(r, i) for i in range(n) if (r := rank(i)) >= 0]
+        heapq.heapify(waiting)
+        while waiting:
+            r, i = heapq.heappop(waiting)
+            if symbols[i] < 0 or rank(i) != r:
+                continue
+            gone = after[i]
+            symbols[i], symbols[gone] = r, -1
+            after[i] = after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0 and (new := rank(at)) >= 0:
+                    heapq.heappush(waiting, (new, at))
+        return tuple(x for x in symbols if x >= 0)
+
     def _cut(self, text: str) -> list[str]:
         """Pieces, as keys of ``known``, at which the pattern cuts in any case.
 

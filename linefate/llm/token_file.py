@@ -43,6 +43,9 @@ SHARD_DOCS = 100_000
 #: Encoded chunks that a worker keeps.
 KEPT_CHUNKS = 600_000
 KEPT_LENGTH = 48
+#: Characters from U+0180 on, where lower case and composition may depend on each other; below, the tokenizer's own
+#: lower-casing gives what lower() does.
+FAR = re.compile("[^\x00-\u017f]").search
 _OWN: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
