@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import PairMap, pieces, texts
 
@@ -244,7 +245,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", key:
 
     ``path`` must name the rank file on every executor.
     """
-    schema = docs.select(key).schema.add("ids", "array<int>")
+    schema = docs.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
