@@ -8,10 +8,15 @@ keeps the line: the one of the least id.
 Both counts are HyperLogLog sketches for each line's digest, merged by aggregation. Only lines whose estimates lie near a
 threshold are counted exactly, so every decision is that of the exact counts but for estimates that err by more than
 ``margin``.
+
+That rule is ``report``'s and its SQL's. ``dedup`` decides by ``widespread``, where copies hide no boilerplate and shared
+lines never stand for a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ SITES = 5
 #: Bits of a sketch's size: 2**10 registers, about 3 % standard error beyond a few hundred, exact-like below.
 SKETCH = 10
 MARGIN = 0.15
+#: One part in OWN of a document's characters stands in lines below the threshold, or it is a copy and no evidence.
+OWN = 4
 
 
 def _digests(text: Column) -> Column:
@@ -67,14 +74,43 @@ def boilerplate(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN)
     return materialized(sure.unionByName(counted_again), "boilerplate")
 
 
-def cleaned(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
+def widespread(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
+    """(line binary, keeper) as boilerplate() gives them, counted over documents that differ in lines of their own.
+
+    A document's own lines are those on less than ``sites`` sources, its context the longest of them; the document of least
+    id stands for its context. A line goes if these stand on ``sites`` sources. Documents of which less than one
+    part in OWN is their own, such as copies over many sources, neither count nor hide what others show.
+    """
+    digest = lambda x: F.struct(F.length(F.trim(x)).alias("size"), F.unhex(F.md5(F.trim(x).cast("binary"))).alias("line"))
+    held = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != ""), digest))
+    rows = _keyed(docs).select(F.struct(F.col("__id").alias("id"), F.xxhash64(F.coalesce("__text", F.lit(""))).alias("hash")).alias("row"), F.col("__site").alias("site"), F.explode(held).alias("x"))
+    rows = rows.select("row", "site", F.col("x.size").alias("size"), F.col("x.line").alias("line"))
+    guess = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH)))
+    counted = rows.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("row.id").alias("keeper"), guess.alias("guess"))
+    low = materialized(counted.where((F.col("n") >= sites) & (F.col("guess") >= sites * (1 - margin))).select("line", "keeper", (F.col("guess") <= sites * (1 + margin)).alias("near")), "lines")
+    again = rows.join(low.where("near").select("line"), "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("x"))
+    exact = again.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= sites).select("line")
+    candidates = materialized(low.where("not near").unionByName(low.join(exact, "line", "left_semi")).select("line", "keeper", F.lit(True).alias("wide")), "candidates")
+    own = F.col("wide").isNull()
+    by_doc = rows.join(candidates.select("line", "wide"), "line", "left").groupBy("row", "site").agg(
+        F.sum("size").alias("chars"),
+        F.sum(F.when(own, F.col("size"))).alias("own"),
+        F.max(F.when(own, F.struct("size", "line")))["line"].alias("context"),
+        F.collect_list(F.when(F.col("wide"), F.col("line"))).alias("held"),
+    )
+    shown = by_doc.where(OWN * F.col("own") >= F.col("chars")).select(F.struct(F.col("row.id").alias("id"), "site").alias("one"), "context", F.explode("held").alias("line"))
+    stands = shown.groupBy("line", "context").agg(F.min("one")["site"].alias("site")).groupBy("line", "site").agg(F.lit(1).alias("x")).groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
+    return materialized(candidates.join(stands.where(F.col("sites") >= sites).select("line"), "line", "left_semi").select("line", "keeper"), "boilerplate")
+
+
+def cleaned(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN, rule: Callable[..., DataFrame] = boilerplate) -> DataFrame:
     """``docs`` and, beside their columns, __n_lines, __n_removed and __clean: the text without boilerplate lines.
 
     Blank lines stay. A null text has no lines and stays null; an empty text has one blank line. A document may lose all
     its lines; its text is then empty.
     """
     own = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")))
-    bad = boilerplate(docs, sites=sites, margin=margin)
+    bad = rule(docs, sites=sites, margin=margin)
     digests = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("row"), F.explode(F.array_distinct(F.filter(_digests(F.col("text")), lambda x: x.isNotNull()))).alias("line"))
     hit = digests.join(bad, "line").where(~F.col("row.id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_set("line").alias("__bad"))
     joined = own.join(hit.select(F.col("row.id").alias("__hit_id"), F.col("row.hash").alias("__hit_hash"), "__bad"), F.col("__row.id").eqNullSafe(F.col("__hit_id")) & (F.col("__row.hash") == F.col("__hit_hash")), "left")
@@ -88,7 +124,7 @@ def cleaned(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN) -> D
 
 def dedup(docs: DataFrame, *, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
     """``docs`` without boilerplate lines; the columns stay as they are. A document that loses every line that isn't blank goes."""
-    out = cleaned(docs, sites=sites, margin=margin).where((F.col("__n_removed") == 0) | (F.trim(F.translate("__clean", "\n", "")) != ""))
+    out = cleaned(docs, sites=sites, margin=margin, rule=widespread).where((F.col("__n_removed") == 0) | (F.trim(F.translate("__clean", "\n", "")) != ""))
     return out.select(*[F.col("__clean").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

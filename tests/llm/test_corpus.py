@@ -171,6 +171,24 @@ def test_line_dedup(spark, odd, nothing):
     assert line_dedup.report(nothing).count() == 0
 
 
+def removed_lines(spark, rows):
+    """Lines of each document that dedup takes away."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(df).collect()}
+    return {i: set(text.split("\n")) - set(left.get(i, [])) for i, text, _ in rows}
+
+
+def test_copies_hide_no_boilerplate(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice("abcdefghij") for _ in range(8))
+    copied = [line() for _ in range(8)]
+    rows = [(i, "\n".join([line(), "Stock.", line()]), f"s{i}") for i in range(8)]
+    rows += [(100 + i, "\n".join([*copied, "Stock.", line()]), f"s{i % 9}") for i in range(40)]
+    gone = removed_lines(spark, rows)
+    assert all(gone[i] == ({"Stock."} if i else set()) for i in range(8))
+    assert all(gone[100 + i] == {"Stock."} for i in range(40)), "copies lose the stock line and nothing else"
+
+
 def test_chat_windows(spark):
     rng = random.Random(1)
     texts = [None, "", "\\", "<|", "\\<|", "<\\|", "<\\\\|", "a\n" * 2000, "é" * 9000, "<|im_start|>assistant\nx<|im_end|>\n"]
