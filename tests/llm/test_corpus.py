@@ -189,6 +189,16 @@ def test_copies_hide_no_boilerplate(spark):
     assert all(gone[100 + i] == {"Stock."} for i in range(40)), "copies lose the stock line and nothing else"
 
 
+def test_blocks_do_not_protect_themselves(spark):
+    rng = random.Random(6)
+    line = lambda n=8: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    block = [f"License line {k}" for k in range(9)]
+    rows = [(i, "\n".join([*block, *[line(20) for _ in range(2)]]), f"s{i % 9}") for i in range(30)]
+    rows += [(100 + i, "\n".join(["On four sources.", line(20)]), f"s{i}") for i in range(4)]
+    gone = removed_lines(spark, rows)
+    assert gone[0] == set() and all(gone[i] == set(block) for i in range(1, 30)) and all(gone[100 + i] == set() for i in range(4))
+
+
 def test_chat_windows(spark):
     rng = random.Random(1)
     texts = [None, "", "\\", "<|", "\\<|", "<\\|", "<\\\\|", "a\n" * 2000, "é" * 9000, "<|im_start|>assistant\nx<|im_end|>\n"]
