@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import GENERATED_PATH_PATTERNS, LANGUAGES, SWEEP_THRESHOLDS
+from ..constants import GENERATED_PATH_PATTERNS, LANGUAGES, REPORT_AGES, SWEEP_THRESHOLDS
 from ..functions import text
-from ..operators import compare, correspond, grading, history, lineage, lines, store, survival, turnbull
+from ..operators import compare, correspond, grading, history, lineage, lines, report, store, survival, turnbull
 from ..sources import snapshots
 from ..streaming import record
 from . import domain
@@ -434,8 +434,9 @@ def turnbull_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _observed(spark, sf_dir).withColumn("cluster", F.concat_ws("/", "birth_commit", "file_path_hash"))
-    found = turnbull.replicates(o, "entry_origin", "cluster", "line_id", lambda e: [e.survival(1.0), e.survival(7.0), e.median()], 3, 20, 1)
-    return turnbull.bands(found, "entry_origin", 20)
+    _, resamples, seed = report.checked()
+    found = turnbull.replicates(o, "entry_origin", "cluster", "line_id", lambda e: [*[e.survival(a) for a in REPORT_AGES], e.median()], len(REPORT_AGES) + 1, resamples, seed)
+    return turnbull.bands(found, "entry_origin", resamples)
 
 
 @query()

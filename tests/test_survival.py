@@ -91,3 +91,11 @@ def test_query_equals_its_sql(spark, oracle, name):
 @pytest.mark.parametrize("name", ["rename_assignment", "turnbull_interval", "monotone_clock", "file_fates", "recorded_writes", "traced_lines"])
 def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] >= 0
+
+
+def test_bootstrap_bands_query_is_whole(spark, monkeypatch):
+    drawn = []
+    bands = turnbull.bands
+    monkeypatch.setattr(turnbull, "bands", lambda found, by, n, *a: drawn.append(n) or bands(found, by, n, *a))
+    rows = catalogue.bootstrap_bands(spark, "/root/testdata/sf0.001").collect()
+    assert drawn == [200] and {r.k for r in rows} == {0, 1, 2, 3, 4}, "200 resamples, four ages and the median"
