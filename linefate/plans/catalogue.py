@@ -160,6 +160,15 @@ def deleted_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correspond.by_path(c.where("ord = 0"), c.where("ord = 1")).select(F.col("path").alias("conv_id"), "change")
 
 
+@query(f"WITH {CHAIN}, z AS (SELECT max(ord) AS last FROM c), o AS (SELECT conv_id, ord + 1 AS ord, content_id FROM c, z WHERE ord < last), n AS (SELECT conv_id, ord, content_id FROM c WHERE ord > 0) SELECT conv_id, ord, CASE WHEN o.content_id IS NULL THEN 'added' WHEN n.content_id IS NULL THEN 'deleted' WHEN o.content_id = n.content_id THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (conv_id, ord)")
+def deleted_added_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same-path pairing of every version of each conversation's file with the next, up to the last version of any."""
+    c = domain.chain(spark, sf_dir).withColumn("path", F.col("conv_id"))
+    last = c.agg(F.max("ord").alias("last"))
+    old = c.crossJoin(F.broadcast(last)).where("ord < last").withColumn("ord", F.col("ord") + 1)  # one row
+    return correspond.by_path(old, c.where("ord > 0"), "ord").select(F.col("path").alias("conv_id"), "ord", "change")
+
+
 @query(f"WITH {LINES}{PAIRS} SELECT p.old_path, p.new_path, number FROM p JOIN l ON l.path = p.old_path")
 def unchanged_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _side_lines(spark, sf_dir)

@@ -99,3 +99,13 @@ def test_bootstrap_bands_query_is_whole(spark, monkeypatch):
     monkeypatch.setattr(turnbull, "bands", lambda found, by, n, *a: drawn.append(n) or bands(found, by, n, *a))
     rows = catalogue.bootstrap_bands(spark, "/root/testdata/sf0.001").collect()
     assert drawn == [200] and {r.k for r in rows} == {0, 1, 2, 3, 4}, "200 resamples, four ages and the median"
+
+
+def test_deleted_added_pairs_every_version(spark):
+    sf = "/root/testdata/sf0.001"
+    turns = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    last = max(t for _, t in turns)
+    got = {(r.conv_id, r.ord): r.change for r in catalogue.deleted_added_all(spark, sf).collect()}
+    assert set(got) == {(c, t) for c, t in turns if t > 0} | {(c, t + 1) for c, t in turns if t < last} and any(t > 1 for _, t in got)
+    assert {c: x for (c, t), x in got.items() if t == 1} == {r.conv_id: r.change for r in catalogue.deleted_added(spark, sf).collect()}
+    assert all((x == "added") == ((c, t - 1) not in turns) and (x == "deleted") == ((c, t) not in turns) for (c, t), x in got.items())
