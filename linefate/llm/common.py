@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else "file:///tmp/checkpoints"
     return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
 
@@ -56,6 +60,81 @@ def materialized(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Tables of one run below the shared folder. Those that nothing reads any more are dropped by name."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.base = spark, scratch(spark, what)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(posixpath.join(self.base, name))
+        return self.spark.read.schema(df.schema).parquet(posixpath.join(self.base, name))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(self.base, name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Bits:
+    """A set of 64-bit numbers as bits of a file in the shared folder: says yes to all members, and to few others.
+
+    The file's size follows the number of members up to MOST bits (32 MB); beyond that more others get a yes.
+    """
+
+    MOST = 1 << 28
+    CHUNK = 1 << 18
+    _own: dict[str, np.ndarray] = {}
+
+    @classmethod
+    def write(cls, numbers: DataFrame, folder: "Folder", name: str) -> str:
+        """``numbers`` has one long column. Bits are set by tasks, a chunk each; only the chunks come to the driver."""
+        column = numbers.columns[0]
+        held = folder.write(f"{name}-numbers", numbers.where(F.col(column).isNotNull()).distinct())
+        size = min(cls.MOST, max(cls.CHUNK, 1 << (16 * held.count()).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                cell = batch.column(0).to_numpy() & (size - 1)
+                chunk = cell // cls.CHUNK
+                for k in np.unique(chunk).tolist():
+                    bits = np.zeros(cls.CHUNK, dtype=bool)
+                    bits[cell[chunk == k] % cls.CHUNK] = True
+                    found[k] = np.packbits(bits) | found.get(k, 0)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["chunk", "bits"])
+
+        dealt = held.repartition(F.floor(F.col(column).bitwiseAND(size - 1) / cls.CHUNK))
+        whole = np.zeros(size // 8, dtype=np.uint8)
+        for chunk, bits in dealt.mapInArrow(run, "chunk long, bits binary").collect():
+            at = chunk * cls.CHUNK // 8
+            whole[at : at + cls.CHUNK // 8] |= np.frombuffer(bits, dtype=np.uint8)
+        folder.drop(f"{name}-numbers")
+        path = posixpath.join(folder.base, f"{name}.bits")
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(posixpath.dirname(at), recursive=True)
+        with fs.open_output_stream(at) as f:
+            f.write(whole.tobytes())
+        return path
+
+    @classmethod
+    def load(cls, path: str) -> np.ndarray:
+        """A worker keeps one set."""
+        if path not in cls._own:
+            cls._own.clear()
+            fs, at = pyarrow.fs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                cls._own[path] = np.frombuffer(f.read(), dtype=np.uint8)
+        return cls._own[path]
+
+    @classmethod
+    def has(cls, path: str, numbers: np.ndarray) -> np.ndarray:
+        bits = cls.load(path)
+        cell = numbers.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+        return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -155,35 +234,62 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_table(is_word: np.ndarray) -> np.ndarray:
-    """For each byte: 0 outside words, else the byte, A-Z lower-cased."""
-    table = np.arange(256, dtype=np.uint8)
+    """For each byte: 0 outside words, else one more than the byte, A-Z lower-cased."""
+    table = np.arange(1, 257, dtype=np.uint16)
     table[65:91] += 32
     table[~is_word] = 0
     return table
 
 
+#: Bytes whose words are looked at together; a word that is longer is looked at whole.
+SLICE = 1 << 20
+
+
 class Words:
-    """Words of many texts at once: starts, ends (byte offsets), hashes, and first (of each text, the index of its first word)."""
+    """Words of many texts at once: starts, ends (byte offsets), hashes, and first (of each text, the index of its first word).
+
+    Memory beside the result is in proportion to SLICE, or to the longest word.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
-        low = table[raw]
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        inside[1:-1] = low != 0
-        step = np.diff(inside)
-        begins, ends = step == 1, step == -1
         # a text's end ends its last word, though the next text begins with one
         cut = offsets[1:-1]
         cut = cut[(cut > 0) & (cut < len(raw))]
-        cut = cut[(low[cut - 1] != 0) & (low[cut] != 0)] if len(cut) else cut
-        begins[cut] = ends[cut] = True
-        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
-        up, down = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(low.astype(np.uint64) * up[: len(raw)], out=sums[1:])
-        mixed = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.hashes = mix(mixed + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        cut = np.unique(cut[(table[raw[cut - 1]] != 0) & (table[raw[cut]] != 0)]) if len(cut) else cut
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, size = 0, len(raw)
+        while at < size:
+            low = table[raw[at : at + SLICE]]
+            end = at + len(low)
+            while end < size and table[raw[end - 1]] and table[raw[end]] and not (len(cut) and cut[min(np.searchsorted(cut, end), len(cut) - 1)] == end):
+                # the last word goes on: leave it to the next slice, unless it is all of this one
+                outside = np.flatnonzero(low == 0)
+                inner = cut[(cut > at) & (cut < end)]
+                back = max(at + int(outside[-1]) + 1 if len(outside) else at, int(inner[-1]) if len(inner) else at)
+                if back > at:
+                    end = back
+                    break
+                low = table[raw[at : end + SLICE]]
+                end = at + len(low)
+            parts.append(self._slice(low[: end - at], cut[(cut > at) & (cut < end)] - at, at))
+            at = end
+        self.starts, self.ends, self.hashes = (np.concatenate([x[k] for x in parts]) if parts else np.empty(0, dtype=np.uint64 if k == 2 else np.int64) for k in range(3))
         self.first = np.searchsorted(self.starts, offsets)
 
+    @staticmethod
+    def _slice(low: np.ndarray, cut: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = np.zeros(len(low) + 2, dtype=np.int8)
+        inside[1:-1] = low != 0
+        step = np.diff(inside)
+        begins, ends = step == 1, step == -1
+        begins[cut] = ends[cut] = True
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        up, down = _powers(len(low) + 1)
+        sums = np.zeros(len(low) + 1, dtype=np.uint64)
+        np.cumsum(low.astype(np.uint64) * up[: len(low)], out=sums[1:])
+        mixed = (sums[ends] - sums[starts]) * down[starts]
+        return starts + at, ends + at, mix(mixed + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""

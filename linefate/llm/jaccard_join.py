@@ -1,47 +1,53 @@
 """N-gram Jaccard join: prefix-tree join over globally ordered n-gram sets.
 
 Two documents link when their sets of n-word shingles have a Jaccard similarity of at least ``percent`` / 100. Sets that
-are equal are one node. The global order of shingles is by hash, with those that many sets hold put last; any order gives
-the same links, this one keeps common passages out of the prefixes. Of a pair that links, both sets hold a common shingle
-among their first ``n - ceil(n * percent / 100) + 1``, so those postings alone are brought together.
+are equal are one node. The global order puts shingles seen once in their block of text before all others, and goes by hash
+within both: any order gives the same links, this one keeps shared passages out of the prefixes. Of a pair that links, both
+sets hold a common shingle among their first ``n - ceil(n * percent / 100) + 1``, so those postings alone are brought together.
 
 1. Postings of one shingle form a star round their least node. Stars whose centres recur are verified: this joins large
    groups of near copies by one check a member instead of one a pair.
-2. Postings whose nodes still lie in different components give the remaining pairs. Their common prefix shingles are
-   counted; with the prefixes' lengths and the places of the last common shingle they bound what the rest can add
-   (remaining-length bound), as all of a set up to its prefix's end is known. What the bound leaves is verified.
-
-Verification stores the sets to be compared with one node as a prefix tree (their sorted order with the lengths of common
-beginnings), walks it once with that node's set, shares the overlap of a common beginning among all sets below it and
-leaves a subtree as soon as the remaining lengths can't reach the overlap that is needed.
+2. Shingles whose postings still lie in different components give the remaining pairs. Of each such shingle, what its
+   nodes hold behind it (shingles that others share too, in the global order) stands in a prefix tree. Each node walks the
+   tree: a common beginning's overlap is counted once for all below it, and a subtree is left as soon as the remaining
+   lengths can't reach the overlap that is needed. Only pairs whose walk comes to its end become rows.
+
+A pair found is looked at through sketches first (counts of shingles in buckets bound the overlap from above); what they
+leave is verified on the whole sets. The sets to be compared with one node stand in a prefix tree again: their sorted order
+with the lengths of common beginnings.
 """
 
 from __future__ import annotations
 
-import io
-import posixpath
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, flat, materialized, mix, pieces, release, scratch, word_table
+from .common import Bits, Folder, Words, flat, mix, pieces, release, word_table
 from .components import components
 
 NGRAM = 5
 PERCENT = 80
-#: A shingle in so many sets of one block of text is a candidate for the end of the order.
-LOCAL_COMMON = 4
-#: Shingles put last at most; which ones only affects speed.
-MOST_COMMON = 500_000
-#: Postings of one common shingle in a group; further ones make further groups.
+#: Bytes of text in which shingles are counted before others see them, and bytes taken apart at once.
+BLOCK_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
+#: A shingle that so many sets of one block of text hold has its postings dealt over several groups; those beyond the most
+#: frequent MOST_HOT are not. Which ones only affects speed.
+HOT = 64
+MOST_HOT = 100_000
+#: Postings of one shingle in a group; further ones make further groups.
 GROUP = 4096
+#: Shingles behind a shared one that its tree holds; what stands behind those counts as common until verified.
+DEPTH = 12
+#: Pairs of a node and a part of a tree that are walked at once.
+WALK = 200_000
+#: Nodes verified against one node in one group.
+CHUNK = 64
 IS_WORD = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
 TABLE = word_table(IS_WORD)
-_OWN: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def _factors(n: int) -> list[np.uint64]:
@@ -58,8 +64,9 @@ def sets_of(column: pa.Array, ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarra
     h, first, n = words.hashes, words.first, len(words.first) - 1
     counts = np.diff(first)
     factors = _factors(ngram)
-    doc = np.repeat(np.arange(n), np.maximum(counts - ngram + 1, 0))
-    at = np.arange(len(doc)) + np.repeat(first[:-1] - (np.cumsum(np.maximum(counts - ngram + 1, 0)) - np.maximum(counts - ngram + 1, 0)), np.maximum(counts - ngram + 1, 0))
+    own = np.maximum(counts - ngram + 1, 0)
+    doc = np.repeat(np.arange(n), own)
+    at = np.arange(len(doc)) + np.repeat(first[:-1] - (np.cumsum(own) - own), own)
     grams = np.zeros(len(at), dtype=np.uint64)
     for k in range(ngram):
         grams += h[at + k] * factors[k]
@@ -82,122 +89,120 @@ def nodes_of(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((one[first[1:]] - one[first[:-1]]) * np.uint64(0x9E3779B97F4A7C15) ^ mix(two[first[1:]] - two[first[:-1]] + size)).view(np.int64)
 
 
+def sketches_of(grams: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set the number of its shingles in each of some buckets, a byte each; 255 stands for that many or more."""
+    n = np.diff(first)
+    buckets = np.where(n > 0, 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 4, 12).astype(np.int64), 0)
+    base = np.concatenate(([0], np.cumsum(buckets)))
+    at = np.repeat(base[:-1], n) + (grams & np.repeat(buckets - 1, n).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(base[-1])), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(base.astype(np.int32).tobytes()), pa.py_buffer(counts.tobytes())])
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """No fewer than the shingles that two sets of these sketches have in common."""
+    a, b = (np.frombuffer(s, dtype=np.uint8) for s in sorted((x, y), key=len))
+    if not len(a):
+        return 0
+    if a.max() == 255 or b.max() == 255:
+        return 1 << 62
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+
+
+def needed(na, nb, percent: int):
+    """Least overlap of two sets of these sizes that link: overlap >= (na + nb) * p / (100 + p), in whole numbers."""
+    return -(-(na + nb) * percent // (100 + percent))
+
+
 def _survey(docs: DataFrame, ngram: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, node, n) of every document, and (gram, seen) of shingles common in a block of text."""
+    """Rows of two kinds: (doc_id, node, n, sketch) of every document, and (gram, seen) of shingles in several sets of a block."""
     schema = docs.select("doc_id").schema
-    for name, kind in (("node", "long"), ("n", "long"), ("gram", "long"), ("seen", "long")):
+    for name, kind in (("node", "long"), ("n", "long"), ("sketch", "binary"), ("gram", "long"), ("seen", "long")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", BLOCK_BYTES):
             held, seen = [], set()
-            for part in pieces(iter([batch]), "text", 4 << 20):
+            for part in pieces(iter([batch]), "text", PIECE_BYTES):
                 grams, first = sets_of(part.column(1), ngram)
                 nodes, n = nodes_of(grams, first), np.diff(first)
                 k = len(nodes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(n, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(n, pa.int64()), sketches_of(grams, first), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=schema.names)
                 fresh = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], dtype=bool)
                 held.append(grams[np.repeat(fresh, n)])
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            found, times = found[times >= LOCAL_COMMON], times[times >= LOCAL_COMMON]
+            found, times = found[times > 1], times[times > 1]
+            del held
             for i in range(0, len(found), 100_000):
                 part, count = found[i : i + 100_000], times[i : i + 100_000]
                 k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(part.view(np.int64)), pa.array(count, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(part.view(np.int64)), pa.array(count, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _common(survey: DataFrame, folder: str) -> str:
-    """Write the most common shingles and how many sets were seen to hold each; at most MOST_COMMON, so 8 MB."""
-    top = survey.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_COMMON)
-    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
-    table = top.toArrow()
-    grams = table.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    seen = table.column("seen").to_numpy().astype(np.int64)
-    order = np.argsort(grams)
-    out = io.BytesIO()
-    np.savez(out, grams=grams[order], seen=seen[order])
-    with fs.open_output_stream(posixpath.join(base, "common.npz")) as f:
-        f.write(out.getvalue())
-    return posixpath.join(folder, "common.npz")
-
-
-def _load(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, seen, bit for each value of the grams' upper 24 bits)."""
-    if path not in _OWN:
-        _OWN.clear()
-        fs, at = pyarrow.fs.FileSystem.from_uri(path)
-        with fs.open_input_file(at) as f:
-            held = np.load(io.BytesIO(f.read()))
-        grams, seen = held["grams"], held["seen"]
-        bits = np.zeros(1 << 24, dtype=bool)
-        bits[(grams >> np.uint64(40)).astype(np.int64)] = True
-        _OWN[path] = grams, seen, bits
-    return _OWN[path]
-
-
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def _postings(docs: DataFrame, common: str, ngram: int, percent: int) -> DataFrame:
-    """(gram, salt, node, n, pos): the prefix of each set in the global order; a set once for each block of text."""
+def _postings(docs: DataFrame, shared: str, hot: dict[int, int], ngram: int, percent: int) -> DataFrame:
+    """(gram, salt, node, n, pos, split): the prefix of each set in the global order; a set once for each run of text."""
+    hot_grams = np.array(sorted(hot), dtype=np.int64)
+    hot_parts = np.array([hot[x] for x in sorted(hot)], dtype=np.int64)
+    many = docs.sparkSession.sparkContext.broadcast((hot_grams, hot_parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, times, bits = _load(common)
+        top, parts = many.value
         seen: set[int] = set()
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             grams, first = sets_of(batch.column(0), ngram)
             nodes, n = nodes_of(grams, first), np.diff(first)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             fresh = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], dtype=bool) & (n > 0)
             doc = np.repeat(np.arange(len(n)), n)
-            salts = np.zeros(len(grams), dtype=np.int64)
-            near = np.flatnonzero(bits[(grams >> np.uint64(40)).astype(np.int64)]) if len(top) else np.empty(0, dtype=np.int64)
-            at = np.minimum(np.searchsorted(top, grams[near]), max(len(top) - 1, 0))
-            hit = top[at] == grams[near] if len(near) else np.empty(0, dtype=bool)
-            last = np.zeros(len(grams), dtype=bool)
-            last[near[hit]] = True
-            salts[near[hit]] = times[at[hit]] // GROUP + 1
+            last = Bits.has(shared, grams)
             order = np.lexsort((grams, last, doc))
             pos = np.arange(len(grams)) - np.repeat(first[:-1], n)
             keep = (pos < np.repeat(prefix_length(n, percent), n)) & np.repeat(fresh, n)
-            take = order[keep]
-            own = nodes[doc[keep]]
-            groups = salts[take]
-            salt = np.where(groups > 1, (mix(own.view(np.uint64)) % np.maximum(groups, 1).astype(np.uint64)).astype(np.int64), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own), pa.array(n[doc[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(groups > 1)], names=["gram", "salt", "node", "n", "pos", "split"])
+            take, own, pos = grams[order[keep]].view(np.int64), nodes[doc[keep]], pos[keep]
+            groups = np.ones(len(take), dtype=np.int64)
+            if len(top):
+                at = np.minimum(np.searchsorted(top, take), len(top) - 1)
+                groups = np.where(top[at] == take, parts[at], 1)
+            salt = np.where(groups > 1, (mix(own.view(np.uint64)) % groups.astype(np.uint64)).astype(np.int64), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(take), pa.array(salt.astype(np.int32)), pa.array(own), pa.array(n[doc[keep]].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(groups > 1)], names=["gram", "salt", "node", "n", "pos", "split"])
 
     return docs.select("text").mapInArrow(run, "gram long, salt int, node long, n int, pos int, split boolean")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 400_000) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of sorted rows, cut only between groups."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Sorted rows, cut only between groups."""
     held: list[pa.RecordBatch] = []
     size = 0
-
-    def columns(table: pa.Table) -> dict[str, np.ndarray]:
-        return {name: table.column(name).to_numpy() for name in table.schema.names}
-
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
+        if not batch.num_rows:
+            continue
         if size >= rows:
-            table = pa.Table.from_batches(held)
-            got = columns(table)
-            change = np.zeros(size, dtype=bool)
+            # the last group of what is held may go on: cut before it, or where the new batch begins another
+            change = np.zeros(held[-1].num_rows + 1, dtype=bool)
             for key in keys:
-                change[1:] |= got[key][1:] != got[key][:-1]
+                own = np.concatenate((held[-1].column(key).to_numpy(), batch.column(key)[:1].to_numpy()))
+                change[1:] |= own[1:] != own[:-1]
             cut = np.flatnonzero(change)
             if len(cut):
                 end = int(cut[-1])
-                yield {k: v[:end] for k, v in got.items()}
-                held, size = table.slice(end).combine_chunks().to_batches(), size - end
+                yield pa.Table.from_batches([*held[:-1], held[-1].slice(0, end)])
+                held = [held[-1].slice(end)] if end < held[-1].num_rows else []
+                size = sum(x.num_rows for x in held)
+        held.append(batch)
+        size += batch.num_rows
     if size:
-        yield columns(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _columns(table: pa.Table, *names: str) -> dict[str, np.ndarray]:
+    return {name: table.column(name).to_numpy() for name in names or table.schema.names}
 
 
 def _stars(postings: DataFrame) -> DataFrame:
@@ -208,7 +213,8 @@ def _stars(postings: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _whole_groups(batches, ("gram", "salt")):
+        for table in _whole_groups(batches, ("gram", "salt")):
+            g = _columns(table)
             # sorted by gram, salt and node: drop repeats of a node
             fresh = np.ones(len(g["gram"]), dtype=bool)
             fresh[1:] = (g["gram"][1:] != g["gram"][:-1]) | (g["salt"][1:] != g["salt"][:-1]) | (g["node"][1:] != g["node"][:-1])
@@ -229,7 +235,8 @@ def _stars(postings: DataFrame) -> DataFrame:
                 (2, g["node"][head], g["node"][head], g["n"][head], g["pos"][head], g["gram"][head], g["salt"][head]),
             )
             for kind, *values in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values[0]), kind, dtype=np.int32)), *[pa.array(np.asarray(v).astype(np.int64)) for v in values]], names=["kind", "node", "other", "n", "count", "gram", "salt"])
+                if len(values[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values[0]), kind, dtype=np.int32)), *[pa.array(np.asarray(v).astype(np.int64)) for v in values]], names=["kind", "node", "other", "n", "count", "gram", "salt"])
 
     dealt = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
     return dealt.mapInArrow(run, "kind int, node long, other long, n long, count long, gram long, salt long")
@@ -246,14 +253,14 @@ def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     before = np.empty(0, dtype=np.uint64)
     within = np.zeros(1, dtype=np.int64)  # overlap of the first d members of the set before, for each d
     dead = -1  # depth of the beginning of the set before at which the walk ended, or -1
-    need_before = 0
+    need_before = remaining = 0
     for k in order:
         own = sets[k]
-        need = -(-(len(own) + len(probe)) * percent // (100 + percent))
+        need = needed(len(own), len(probe), percent)
         m = min(len(own), len(before))
         differ = np.flatnonzero(own[:m] != before[:m])
         common = int(differ[0]) if len(differ) else m
-        if dead >= 0 and common >= dead and need >= need_before and len(own) - dead <= remaining:  # noqa: F821
+        if dead >= 0 and common >= dead and need >= need_before and len(own) - dead <= remaining:
             continue
         if min(len(own), len(probe)) < need:
             continue
@@ -274,90 +281,155 @@ def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Any number of pairs may have the same b: they are verified in several groups."""
-    pairs = materialized(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("wanted"), "node")
-    content = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
-            grams, first = sets_of(batch.column(1), ngram)
-            # a document of the same id and another text is not the one wanted
-            same = nodes_of(grams, first) == batch.column(0).to_numpy()
-            rows = [(node, grams[first[d] : first[d + 1]].tobytes()) for d, node in enumerate(batch.column(0).to_pylist()) if same[d]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["node", "grams"])
-
-    sets = materialized(content.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"]), "sets")
-    # few enough sets of a group to fit: a group is (b, chunk), and a chunk of a large b is cut by its number of pairs
-    size = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
-    dealt = pairs.join(size, "b").withColumn("chunk", F.when(F.col("size") <= 64, F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), (F.col("size") / 64).cast("long"))))).select("a", "b", "chunk")
-    dealt = materialized(dealt, "dealt")
-    left = dealt.join(sets.select(F.col("node").alias("a"), "grams"), "a").select("a", "b", "chunk", "grams")
-    probes = dealt.select(F.col("b").alias("probe"), F.col("chunk").alias("part")).distinct()
-    right = probes.join(sets.select(F.col("node").alias("probe"), F.col("grams").alias("own")), "probe").select("probe", "part", "own")
-
-    def check(probe: pa.Table, others: pa.Table) -> pa.Table:
-        names, found = others.column("a").to_pylist(), []
-        for b, raw in zip(probe.column("probe").to_pylist(), probe.column("own").to_pylist(), strict=True):
-            overlaps = tree_overlaps(np.frombuffer(raw, dtype=np.uint64), [np.frombuffer(x, dtype=np.uint64) for x in others.column("grams").to_pylist()], percent)
-            found += [(a, b) for a, o in zip(names, overlaps, strict=True) if o >= 0]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    linked = right.groupBy("probe", "part").cogroup(left.groupBy("b", "chunk")).applyInArrow(check, "a long, b long")
-    return materialized(linked, "links")
-
+def trie_pairs(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.ndarray, pos: np.ndarray, label: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one gram and different labels that may link, by a walk of every row down its gram's prefix tree.
 
-def _crossing(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) whose nodes lie in different components and that the bounds leave, from (gram, node, n, pos, label)."""
+    tokens: what each row holds behind the gram, in the global order, 0 beyond its end; rest: how many such there are, also
+    those not in ``tokens``; pos: the gram's place in the whole set, of n. A pair that links is found at the first gram that
+    both hold; at later ones it may be left out.
+    """
+    none = np.empty(0, dtype=np.int64)
+    if not len(gram):
+        return none, none
+    depth = tokens.shape[1]
+    size = np.floor(np.log(n) / np.log(1.08)).astype(np.int64)
+    order = np.lexsort((*tokens.T[::-1], size, gram))
+    gram, tokens, n, rest, pos, label, node, size = (x[order] for x in (gram, tokens, n, rest, pos, label, node, size))
+    k = len(gram)
+    change = np.ones(k, dtype=bool)
+    change[1:] = gram[1:] != gram[:-1]
+    group = np.cumsum(change) - 1
+    change[1:] |= size[1:] != size[:-1]
+    # the tree's parts of each depth are runs of rows
+    starts = [np.flatnonzero(change)]
+    for d in range(depth):
+        change[1:] |= tokens[1:, d] != tokens[:-1, d]
+        starts.append(np.flatnonzero(change))
+    low = [np.minimum.reduceat(n, s) for s in starts]
+    high = [np.maximum.reduceat(n, s) for s in starts]
+    more = [np.maximum.reduceat(np.maximum(rest - d, 0), s) for d, s in enumerate(starts)]
+    below = [np.append(np.searchsorted(starts[d + 1], starts[d]), len(starts[d + 1])) for d in range(depth)]
+    beyond = lambda x: -(-x * percent // 100) - 1  # noqa: E731  what stands behind a prefix
+
+    def reach(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        # one of the two prefixes ends first; beyond its end, and beyond the other's shingle, all may be common
+        left = np.maximum(np.minimum(beyond(n[p]), hi - 1), np.minimum(n[p] - pos[p] - 1, beyond(hi)))
+        return (upper + left >= needed(n[p], lo, percent)) & (100 * hi >= percent * n[p]) & (lo <= n[p])
+
+    def spread(p: np.ndarray, first: np.ndarray, last: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        times = last - first
+        at = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(p, times), at, *(np.repeat(x, times) for x in more)
+
+    first_class = np.searchsorted(group[starts[0]], group)
+    last_class = np.searchsorted(group[starts[0]], group, side="right")
+    size_of_group = np.bincount(group)[group]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    budget = np.cumsum(size_of_group) // WALK
+    for lo_row, hi_row in zip(c := np.append(np.flatnonzero(np.diff(budget, prepend=-1)), k).tolist(), c[1:], strict=False):
+        p, v, count = spread(np.arange(lo_row, hi_row), first_class[lo_row:hi_row], last_class[lo_row:hi_row], np.ones(hi_row - lo_row, dtype=np.int64))
+        for d in range(depth + 1):
+            keep = reach(p, low[d][v], high[d][v], np.minimum(1 + rest[p], count + more[d][v]))
+            p, v, count = p[keep], v[keep], count[keep]
+            if d == depth or not len(p):
+                break
+            p, v, count = spread(p, below[d][v], below[d][v + 1], count)
+            t = tokens[starts[d + 1][v], d]
+            count += ((tokens[p] == t[:, None]).any(axis=1)) & (t != 0)
+        if not len(p):
+            continue
+        ends = np.append(starts[depth][1:], k)
+        p, q, count = spread(p, starts[depth][v], ends[v], count)
+        left = np.maximum(np.minimum(beyond(n[p]), n[q] - pos[q] - 1), np.minimum(n[p] - pos[p] - 1, beyond(n[q])))
+        upper = np.minimum(1 + rest[p], count + np.maximum(rest[q] - depth, 0))
+        keep = (label[p] != label[q]) & (upper + left >= needed(n[p], n[q], percent)) & (100 * n[q] >= percent * n[p])
+        keep &= (n[q] < n[p]) | (n[q] == n[p]) & (node[q] < node[p])
+        found.append((p[keep], q[keep]))
+    if not found:
+        return none, none
+    return order[np.concatenate([x for x, _ in found])], order[np.concatenate([x for _, x in found])]
+
+
+def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) whose nodes lie in different components and that the trees leave, from (gram, node, n, pos, label, size)."""
+    seq = F.sort_array(F.collect_list(F.struct("pos", "gram", "size")))
+    by_node = mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), seq.alias("seq"))
+    rows = by_node.select("node", "n", "label", F.transform("seq", lambda x: x["gram"]).alias("grams"), F.posexplode("seq").alias("k", "x"))
+    rest = F.slice("grams", F.col("k") + 2, DEPTH)
+    rows = rows.select("node", "n", "label", F.col("x.gram").alias("gram"), F.col("x.pos").alias("pos"), (F.size("grams") - F.col("k") - 1).alias("rest"), rest.alias("tokens"), F.ceil(F.col("x.size") / GROUP).cast("int").alias("parts"))
+    # a shingle with too many postings has its groups in twos: any two nodes meet in one
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    blocks = F.when(F.col("parts") <= 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(own, q) * F.col("parts") + F.greatest(own, q)))
+    rows = rows.withColumn("part", F.explode(blocks)).drop("parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _whole_groups(batches, ("gram",)):
-            begins = np.ones(len(g["gram"]), dtype=bool)
-            begins[1:] = g["gram"][1:] != g["gram"][:-1]
-            start = np.append(np.flatnonzero(begins), len(begins))
-            node, n, pos, label = g["node"], g["n"], g["pos"], g["label"]
-            out: list[np.ndarray] = []
-            size = 0
-            # rows of a group are sorted by n: the partners of row i begin at the least n that can link
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                least = np.searchsorted(n[lo:hi], -(-n[lo:hi] * percent // 100)) + lo
-                for i in range(lo + 1, hi):
-                    j = np.arange(least[i - lo], i)
-                    j = j[(label[j] != label[i]) & (node[j] != node[i])]
-                    if len(j):
-                        a, b = np.full(len(j), i), j
-                        swap = node[a] < node[b]
-                        a, b = np.where(swap, b, a), np.where(swap, a, b)
-                        out.append(np.stack((node[a], node[b], n[a], n[b], pos[a], pos[b])))
-                        size += len(j)
-                        if size > 500_000:
-                            yield _counted(np.concatenate(out, axis=1))
-                            out, size = [], 0
-            if out:
-                yield _counted(np.concatenate(out, axis=1))
-
-    dealt = postings.repartition("gram").sortWithinPartitions("gram", "n", "node")
-    found = dealt.mapInArrow(run, "a long, b long, na long, nb long, ia long, ib long, c long")
-    whole = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.sum("c").alias("c"))
-    # one of the two prefixes ends first; beyond its end, and beyond the other's last common shingle, all may be common
-    beyond = lambda n: F.ceil(F.col(n) * percent / 100).cast("long") - 1
-    left = F.greatest(F.least(beyond("na"), F.col("nb") - F.col("ib") - 1), F.least(F.col("na") - F.col("ia") - 1, beyond("nb")))
-    # overlap >= (na + nb) * p / (100 + p), in whole numbers
-    return whole.where((F.col("c") + left) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-
-
-def _counted(rows: np.ndarray) -> pa.RecordBatch:
-    """One row for each pair: how many shingles it shares here and the places of the last."""
-    order = np.lexsort((rows[1], rows[0]))
-    rows = rows[:, order]
-    begins = np.ones(rows.shape[1], dtype=bool)
-    begins[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
-    start = np.flatnonzero(begins)
-    count = np.diff(np.append(start, rows.shape[1]))
-    values = [rows[0][start], rows[1][start], rows[2][start], rows[3][start], np.maximum.reduceat(rows[4], start), np.maximum.reduceat(rows[5], start), count]
-    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in values], names=["a", "b", "na", "nb", "ia", "ib", "c"])
+        for table in _whole_groups(batches, ("gram", "part"), 40_000):
+            g = _columns(table, "gram", "part", "node", "n", "label", "pos", "rest")
+            behind = table.column("tokens").combine_chunks()
+            sizes = behind.value_lengths().to_numpy().astype(np.int64)
+            tokens = np.zeros((len(sizes), DEPTH), dtype=np.int64)
+            tokens[np.arange(DEPTH) < sizes[:, None]] = behind.flatten().to_numpy()
+            begins = np.ones(len(sizes), dtype=np.int64)
+            begins[1:] = (g["gram"][1:] != g["gram"][:-1]) | (g["part"][1:] != g["part"][:-1])
+            a, b = trie_pairs(np.cumsum(begins), tokens, *(g[x].astype(np.int64) for x in ("n", "rest", "pos", "label", "node")), percent)
+            a, b = g["node"][a], g["node"][b]
+            pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    dealt = rows.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(folder: Folder, name: str, pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link. Any number of pairs may have the same b: they are verified in several groups."""
+    nodes = lambda held: held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
+    pairs = folder.write(f"{name}-pairs", pairs)
+    sketch = own.join(nodes(pairs), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(c).to_pylist() for c in ("na", "nb", "x", "y"))
+            keep = [min(p, q) >= (need := needed(p, q, percent)) and overlap_bound(s, t) >= need for p, q, s, t in zip(na, nb, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("na"))
+    two = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("nb"))
+    left = folder.write(f"{name}-left", pairs.join(one, "a").join(two, "b").mapInArrow(bound, "a long, b long"))
+    # only the texts of the nodes that are left move: the others stop where they are read
+    wanted = folder.write(f"{name}-wanted", classes.join(nodes(left), "node", "left_semi").select("node", F.xxhash64("doc_id").alias("hash")))
+    bits = Bits.write(wanted.select("hash"), folder, f"{name}-wanted")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(Bits.has(bits, batch.column(0).to_numpy())))
+            for part in pieces(iter([batch]), "text", PIECE_BYTES):
+                grams, first = sets_of(part.column(1), ngram)
+                raw = grams.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(grams, first)), pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["node", "grams"])
+
+    sets = docs.select(F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(read, "node long, grams binary")
+    sets = folder.write(f"{name}-sets", sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    # few enough sets of a group to fit: a group is (b, chunk), and a chunk of a large b is cut by its number of pairs
+    size = left.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    dealt = folder.write(f"{name}-dealt", left.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / CHUNK)).alias("chunk")))
+    members = dealt.join(sets.select(F.col("node").alias("a"), "grams"), "a").select("b", "chunk", F.lit(1).alias("kind"), "a", "grams")
+    probes = dealt.select("b", "chunk").distinct().join(sets.select(F.col("node").alias("b"), "grams"), "b").select("b", "chunk", F.lit(0).alias("kind"), F.col("b").alias("a"), "grams")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ("b", "chunk"), 2_000):
+            b, chunk, kind, a, raw = (table.column(c).to_pylist() for c in ("b", "chunk", "kind", "a", "grams"))
+            begins = [i for i in range(len(b)) if not i or (b[i], chunk[i]) != (b[i - 1], chunk[i - 1])]
+            found = []
+            for i, j in zip(begins, [*begins[1:], len(b)], strict=True):
+                held = [np.frombuffer(x, dtype=np.uint64) for x in raw[i:j]]
+                found += [(a[k], b[i]) for k, o in zip(range(i + 1, j), tree_overlaps(held[0], held[1:], percent), strict=True) if o >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    met = members.unionByName(probes).repartition("b", "chunk").sortWithinPartitions("b", "chunk", "kind", "a")
+    links = folder.write(f"{name}-links", met.mapInArrow(check, "a long, b long"))
+    folder.drop(*(f"{name}-{x}" for x in ("pairs", "left", "wanted", "sets", "dealt")))
+    return links
 
 
 def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -369,11 +441,15 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    survey = materialized(_survey(docs, ngram), "survey")
-    common = _common(survey, scratch(spark, "common"))
-    own = survey.where("node is not null").select("doc_id", "node", "n")
+    folder = Folder(spark, "jaccard")
+    survey = folder.write("survey", _survey(docs, ngram))
+    several = survey.where("gram is not null").select("gram", "seen")
+    shared = Bits.write(several.select("gram"), folder, "shared")
+    counted = several.where(F.col("seen") >= HOT).groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_HOT)
+    hot = {r["gram"]: -(-r["seen"] // GROUP) for r in counted.where(F.col("seen") > GROUP).collect()}
+    own = survey.where("node is not null").select("doc_id", "node", "n", "sketch")
     classes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    stars = materialized(_stars(_postings(docs, common, ngram, percent)), "stars")
+    stars = folder.write("stars", _stars(_postings(docs, shared, hot, ngram, percent)))
     release(spark)
     # stars: centres of the groups of one shingle have a star of their own
     centres = stars.where("kind = 2").select("gram", "node", "n").distinct()
@@ -382,17 +458,19 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     stars_0 = stars.where("kind = 0").select("node", "other", "n", "count").unionByName(higher)
     # which star pairs are tried is a matter of speed: those that share a quarter of a prefix
     tried = stars_0.groupBy("node", "other").agg(F.sum("count").alias("count"), F.max("n").alias("n")).where(F.col("count") * 100 >= F.col("n") * (100 - percent) / 4)
-    links = _verified(tried.select(F.col("node").alias("a"), F.col("other").alias("b")), docs, classes, ngram, percent)
+    links = _verified(folder, "near", tried.select(F.col("node").alias("a"), F.col("other").alias("b")), docs, own, classes, ngram, percent)
     release(spark)
-    labels = components(links)
-    labels = materialized(labels, "labels")
+    labels = folder.write("labels", components(links))
     placed = stars.where("kind = 1").select("gram", "node", "n", F.col("count").alias("pos")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = materialized(placed, "placed")
-    mixed = placed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("gram")
-    more = _verified(_crossing(placed.join(mixed, "gram", "left_semi"), percent), docs, classes, ngram, percent)
+    placed = folder.write("placed", placed)
+    folder.drop("stars")
+    several = placed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("gram", "size")
+    more = _verified(folder, "far", _crossing(placed.join(several, "gram"), percent), docs, own, classes, ngram, percent)
+    folder.drop("placed", "labels")
+    release(spark)
     final = components(links.unionByName(more))
     rooted = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = rooted.join(least, "label").select("node", "component_id")
-    joined = own.join(found, "node", "left")
+    joined = own.drop("sketch").join(found, "node", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
