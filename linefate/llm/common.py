@@ -21,6 +21,20 @@ from pyspark.sql import functions as F
 HELD_OUT_FOLDS = 5
 
 
+_STATES: dict[str, dict] = {}
+
+
+def state(operator: str) -> dict:
+    """What an operator keeps in a worker process between tasks. Workers are used again: another operator's goes."""
+    if operator not in _STATES:
+        if _STATES:
+            _STATES.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _STATES[operator] = {}
+    return _STATES[operator]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -84,7 +98,6 @@ class Bits:
 
     MOST = 1 << 28
     CHUNK = 1 << 18
-    _own: dict[str, np.ndarray] = {}
 
     @classmethod
     def write(cls, numbers: DataFrame, folder: "Folder", name: str) -> str:
@@ -121,12 +134,13 @@ class Bits:
     @classmethod
     def load(cls, path: str) -> np.ndarray:
         """A worker keeps one set."""
-        if path not in cls._own:
-            cls._own.clear()
+        own = state("bits")
+        if path not in own:
+            own.clear()
             fs, at = pyarrow.fs.FileSystem.from_uri(path)
             with fs.open_input_file(at) as f:
-                cls._own[path] = np.frombuffer(f.read(), dtype=np.uint8)
-        return cls._own[path]
+                own[path] = np.frombuffer(f.read(), dtype=np.uint8)
+        return own[path]
 
     @classmethod
     def has(cls, path: str, numbers: np.ndarray) -> np.ndarray:
@@ -251,9 +265,9 @@ class Words:
     Memory beside the result is in proportion to SLICE, or to the longest word.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
-        # a text's end ends its last word, though the next text begins with one
-        cut = offsets[1:-1]
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> None:
+        # a text's end ends its last word, though the next text begins with one; so do further cuts
+        cut = offsets[1:-1] if cuts is None else np.concatenate((offsets[1:-1], cuts))
         cut = cut[(cut > 0) & (cut < len(raw))]
         cut = np.unique(cut[(table[raw[cut - 1]] != 0) & (table[raw[cut]] != 0)]) if len(cut) else cut
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -261,7 +275,7 @@ class Words:
         while at < size:
             low = table[raw[at : at + SLICE]]
             end = at + len(low)
-            while end < size and table[raw[end - 1]] and table[raw[end]] and not (len(cut) and cut[min(np.searchsorted(cut, end), len(cut) - 1)] == end):
+            while end < size and table[raw[end - 1]] and table[raw[end]] and not (len(cut) and cut[min(int(np.searchsorted(cut, end)), len(cut) - 1)] == end):
                 # the last word goes on: leave it to the next slice, unless it is all of this one
                 outside = np.flatnonzero(low == 0)
                 inner = cut[(cut > at) & (cut < end)]

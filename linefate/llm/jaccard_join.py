@@ -7,10 +7,12 @@ sets hold a common shingle among their first ``n - ceil(n * percent / 100) + 1``
 
 1. Postings of one shingle form a star round their least node. Stars whose centres recur are verified: this joins large
    groups of near copies by one check a member instead of one a pair.
-2. Shingles whose postings still lie in different components give the remaining pairs. Of each such shingle, what its
-   nodes hold behind it (shingles that others share too, in the global order) stands in a prefix tree. Each node walks the
-   tree: a common beginning's overlap is counted once for all below it, and a subtree is left as soon as the remaining
-   lengths can't reach the overlap that is needed. Only pairs whose walk comes to its end become rows.
+2. Of each shingle whose postings still lie in different components, what its nodes hold behind it (shingles that others
+   share too, in the global order) stands in a prefix tree. Nodes that are neighbours there are verified first, one pair for
+   a posting; what links is joined, so near copies that differ from their star's centre need no check of each with each.
+3. Where components still meet, each node walks the tree: a common beginning's overlap is counted once for all below it,
+   and a subtree is left as soon as the remaining lengths can't reach the overlap that is needed. A pair becomes a row where
+   its walk comes to its end, at the first shingle that both hold, as far as some shingles before show it.
 
 A pair found is looked at through sketches first (counts of shingles in buckets bound the overlap from above); what they
 leave is verified on the whole sets. The sets to be compared with one node stand in a prefix tree again: their sorted order
@@ -42,6 +44,11 @@ MOST_HOT = 100_000
 GROUP = 4096
 #: Shingles behind a shared one that its tree holds; what stands behind those counts as common until verified.
 DEPTH = 12
+#: Shingles before a shared one that tell whether a pair was met already.
+BEFORE = 6
+#: Postings of each node that give neighbours, and neighbours on one side.
+NEAR = 8
+SIDE = 12
 #: Pairs of a node and a part of a tree that are walked at once.
 WALK = 200_000
 #: Nodes verified against one node in one group.
@@ -161,8 +168,9 @@ def _postings(docs: DataFrame, shared: str, hot: dict[int, int], ngram: int, per
                 seen.clear()
             fresh = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], dtype=bool) & (n > 0)
             doc = np.repeat(np.arange(len(n)), n)
-            last = Bits.has(shared, grams)
-            order = np.lexsort((grams, last, doc))
+            # from here on a shingle is a number whose first bit is its class, so numbers go by the global order
+            code = grams >> np.uint64(1) | Bits.has(shared, grams).astype(np.uint64) << np.uint64(63)
+            order = np.lexsort((code, doc))
             pos = np.arange(len(grams)) - np.repeat(first[:-1], n)
             keep = (pos < np.repeat(prefix_length(n, percent), n)) & np.repeat(fresh, n)
             take, own, pos = grams[order[keep]].view(np.int64), nodes[doc[keep]], pos[keep]
@@ -170,6 +178,7 @@ def _postings(docs: DataFrame, shared: str, hot: dict[int, int], ngram: int, per
             if len(top):
                 at = np.minimum(np.searchsorted(top, take), len(top) - 1)
                 groups = np.where(top[at] == take, parts[at], 1)
+            take = code[order[keep]].view(np.int64)
             salt = np.where(groups > 1, (mix(own.view(np.uint64)) % groups.astype(np.uint64)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(take), pa.array(salt.astype(np.int32)), pa.array(own), pa.array(n[doc[keep]].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(groups > 1)], names=["gram", "salt", "node", "n", "pos", "split"])
 
@@ -281,12 +290,33 @@ def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return out
 
 
-def trie_pairs(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.ndarray, pos: np.ndarray, label: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_neighbours(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different labels that stand near each other in their gram's prefix tree and may link."""
+    order = np.lexsort((n, *tokens.T[::-1], gram))
+    steps = range(1, min(SIDE, len(order) - 1) + 1)
+    p = np.concatenate([order[k:] for k in steps] or [order[:0]])
+    q = np.concatenate([order[:-k] for k in steps] or [order[:0]])
+    keep = (gram[p] == gram[q]) & (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+    p, q = p[keep], q[keep]
+    count = 1 + ((tokens[p][:, :, None] == tokens[q][:, None, :]) & (tokens[p] != 0)[:, :, None]).any(axis=2).sum(axis=1)
+    keep = _may_link(n, rest, pos, p, q, count + np.maximum(np.maximum(rest[p], rest[q]) - tokens.shape[1], 0), percent)
+    return p[keep], q[keep]
+
+
+def _may_link(n: np.ndarray, rest: np.ndarray, pos: np.ndarray, p: np.ndarray, q: np.ndarray, upper: np.ndarray, percent: int) -> np.ndarray:
+    """Whether ``upper`` common shingles of the prefixes, and all that can be common behind them, are enough."""
+    beyond = lambda x: -(-x * percent // 100) - 1
+    # one of the two prefixes ends first; beyond its end, and beyond the other's shingle, all may be common
+    left = np.maximum(np.minimum(beyond(n[p]), n[q] - pos[q] - 1), np.minimum(n[p] - pos[p] - 1, beyond(n[q])))
+    return np.minimum(upper, 1 + np.minimum(rest[p], rest[q])) + left >= needed(n[p], n[q], percent)
+
+
+def trie_pairs(gram: np.ndarray, tokens: np.ndarray, before: np.ndarray, n: np.ndarray, rest: np.ndarray, pos: np.ndarray, label: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one gram and different labels that may link, by a walk of every row down its gram's prefix tree.
 
-    tokens: what each row holds behind the gram, in the global order, 0 beyond its end; rest: how many such there are, also
-    those not in ``tokens``; pos: the gram's place in the whole set, of n. A pair that links is found at the first gram that
-    both hold; at later ones it may be left out.
+    tokens: what each row holds behind the gram, in the global order (of unsigned numbers), 0 beyond its end; rest: how many such there are, also
+    those not in ``tokens``; before: the last that it holds before the gram, 0 where there is none; pos: the gram's place in
+    the whole set, of n. A pair that links is found at the first gram that both hold; at later ones it may be left out.
     """
     none = np.empty(0, dtype=np.int64)
     if not len(gram):
@@ -294,7 +324,7 @@ def trie_pairs(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.nda
     depth = tokens.shape[1]
     size = np.floor(np.log(n) / np.log(1.08)).astype(np.int64)
     order = np.lexsort((*tokens.T[::-1], size, gram))
-    gram, tokens, n, rest, pos, label, node, size = (x[order] for x in (gram, tokens, n, rest, pos, label, node, size))
+    gram, tokens, before, n, rest, pos, label, node, size = (x[order] for x in (gram, tokens, before, n, rest, pos, label, node, size))
     k = len(gram)
     change = np.ones(k, dtype=bool)
     change[1:] = gram[1:] != gram[:-1]
@@ -321,6 +351,7 @@ def trie_pairs(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.nda
         at = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         return np.repeat(p, times), at, *(np.repeat(x, times) for x in more)
 
+    seen_to = np.where(rest > depth, tokens[:, -1].view(np.uint64), np.uint64(2**64 - 1))
     first_class = np.searchsorted(group[starts[0]], group)
     last_class = np.searchsorted(group[starts[0]], group, side="right")
     size_of_group = np.bincount(group)[group]
@@ -335,50 +366,77 @@ def trie_pairs(gram: np.ndarray, tokens: np.ndarray, n: np.ndarray, rest: np.nda
                 break
             p, v, count = spread(p, below[d][v], below[d][v + 1], count)
             t = tokens[starts[d + 1][v], d]
-            count += ((tokens[p] == t[:, None]).any(axis=1)) & (t != 0)
+            # what comes behind all that is held of a row may be in the rest of it
+            count += ((tokens[p] == t[:, None]).any(axis=1) | (t.view(np.uint64) > seen_to[p])) & (t != 0)
         if not len(p):
             continue
         ends = np.append(starts[depth][1:], k)
         p, q, count = spread(p, starts[depth][v], ends[v], count)
-        left = np.maximum(np.minimum(beyond(n[p]), n[q] - pos[q] - 1), np.minimum(n[p] - pos[p] - 1, beyond(n[q])))
-        upper = np.minimum(1 + rest[p], count + np.maximum(rest[q] - depth, 0))
-        keep = (label[p] != label[q]) & (upper + left >= needed(n[p], n[q], percent)) & (100 * n[q] >= percent * n[p])
+        keep = (label[p] != label[q]) & (100 * n[q] >= percent * n[p]) & _may_link(n, rest, pos, p, q, count + np.maximum(rest[q] - depth, 0), percent)
         keep &= (n[q] < n[p]) | (n[q] == n[p]) & (node[q] < node[p])
+        p, q = p[keep], q[keep]
+        keep = ~((before[p][:, :, None] == before[q][:, None, :]) & (before[p] != 0)[:, :, None]).any(axis=(1, 2))
         found.append((p[keep], q[keep]))
     if not found:
         return none, none
     return order[np.concatenate([x for x, _ in found])], order[np.concatenate([x for _, x in found])]
 
 
-def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) whose nodes lie in different components and that the trees leave, from (gram, node, n, pos, label, size)."""
+def _behind(mixed: DataFrame) -> DataFrame:
+    """Of each posting (gram, node, n, pos, label, size): what its node holds behind and before it, and the group's parts."""
     seq = F.sort_array(F.collect_list(F.struct("pos", "gram", "size")))
     by_node = mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), seq.alias("seq"))
     rows = by_node.select("node", "n", "label", F.transform("seq", lambda x: x["gram"]).alias("grams"), F.posexplode("seq").alias("k", "x"))
-    rest = F.slice("grams", F.col("k") + 2, DEPTH)
-    rows = rows.select("node", "n", "label", F.col("x.gram").alias("gram"), F.col("x.pos").alias("pos"), (F.size("grams") - F.col("k") - 1).alias("rest"), rest.alias("tokens"), F.ceil(F.col("x.size") / GROUP).cast("int").alias("parts"))
+    before = F.slice("grams", F.greatest(F.lit(1), F.col("k") - BEFORE + 1), F.least(F.col("k"), F.lit(BEFORE)))
+    return rows.select("node", "n", "label", "k", F.col("x.gram").alias("gram"), F.col("x.pos").alias("pos"), (F.size("grams") - F.col("k") - 1).alias("rest"), F.slice("grams", F.col("k") + 2, DEPTH).alias("tokens"), before.alias("before"), F.ceil(F.col("x.size") / GROUP).cast("int").alias("parts"))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    held = column.combine_chunks()
+    out = np.zeros((len(held), width), dtype=np.int64)
+    out[np.arange(width) < held.value_lengths().to_numpy().astype(np.int64)[:, None]] = held.flatten().to_numpy()
+    return out
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
+    if pairs.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _neighbours(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that stand side by side in a tree, from (gram, node, n, pos, label, size).
+
+    A group of many postings is cut into parts: which neighbours are tried is a matter of speed.
+    """
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = _behind(mixed).where(F.col("k") < NEAR).select("node", "n", "label", "gram", "pos", "rest", "tokens", part.alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ("gram", "part"), 20_000):
+            g = _columns(table, "gram", "node", "n", "label", "pos", "rest")
+            a, b = trie_neighbours(g["gram"], _matrix(table.column("tokens"), DEPTH), *(g[x].astype(np.int64) for x in ("n", "rest", "pos", "label")), percent)
+            yield from _pair_batch(g["node"][a], g["node"][b])
+
+    return rows.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(run, "a long, b long").distinct()
+
+
+def _crossing(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) whose nodes lie in different components and that the trees leave, from (gram, node, n, pos, label, size)."""
     # a shingle with too many postings has its groups in twos: any two nodes meet in one
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     blocks = F.when(F.col("parts") <= 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(own, q) * F.col("parts") + F.greatest(own, q)))
-    rows = rows.withColumn("part", F.explode(blocks)).drop("parts")
+    rows = _behind(mixed).withColumn("part", F.explode(blocks)).drop("parts", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ("gram", "part"), 40_000):
+        for table in _whole_groups(batches, ("gram", "part"), 20_000):
             g = _columns(table, "gram", "part", "node", "n", "label", "pos", "rest")
-            behind = table.column("tokens").combine_chunks()
-            sizes = behind.value_lengths().to_numpy().astype(np.int64)
-            tokens = np.zeros((len(sizes), DEPTH), dtype=np.int64)
-            tokens[np.arange(DEPTH) < sizes[:, None]] = behind.flatten().to_numpy()
-            begins = np.ones(len(sizes), dtype=np.int64)
+            begins = np.ones(len(g["gram"]), dtype=np.int64)
             begins[1:] = (g["gram"][1:] != g["gram"][:-1]) | (g["part"][1:] != g["part"][:-1])
-            a, b = trie_pairs(np.cumsum(begins), tokens, *(g[x].astype(np.int64) for x in ("n", "rest", "pos", "label", "node")), percent)
-            a, b = g["node"][a], g["node"][b]
-            pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            a, b = trie_pairs(np.cumsum(begins), _matrix(table.column("tokens"), DEPTH), _matrix(table.column("before"), BEFORE), *(g[x].astype(np.int64) for x in ("n", "rest", "pos", "label", "node")), percent)
+            yield from _pair_batch(g["node"][a], g["node"][b])
 
-    dealt = rows.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(folder: Folder, name: str, pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -460,13 +518,20 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     tried = stars_0.groupBy("node", "other").agg(F.sum("count").alias("count"), F.max("n").alias("n")).where(F.col("count") * 100 >= F.col("n") * (100 - percent) / 4)
     links = _verified(folder, "near", tried.select(F.col("node").alias("a"), F.col("other").alias("b")), docs, own, classes, ngram, percent)
     release(spark)
-    labels = folder.write("labels", components(links))
-    placed = stars.where("kind = 1").select("gram", "node", "n", F.col("count").alias("pos")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = folder.write("placed", placed)
-    folder.drop("stars")
-    several = placed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("gram", "size")
-    more = _verified(folder, "far", _crossing(placed.join(several, "gram"), percent), docs, own, classes, ngram, percent)
-    folder.drop("placed", "labels")
+    postings = stars.where("kind = 1").select("gram", "node", "n", F.col("count").alias("pos"))
+
+    def meeting(links: DataFrame, name: str) -> DataFrame:
+        """The postings of shingles that nodes of several components hold."""
+        placed = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = folder.write(f"{name}-placed", placed)
+        several = placed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("gram", "size")
+        return placed.join(several, "gram")
+
+    links = links.unionByName(_verified(folder, "beside", _neighbours(meeting(links, "beside"), percent), docs, own, classes, ngram, percent))
+    folder.drop("beside-placed")
+    release(spark)
+    more = _verified(folder, "far", _crossing(meeting(links, "far"), percent), docs, own, classes, ngram, percent)
+    folder.drop("far-placed", "stars")
     release(spark)
     final = components(links.unionByName(more))
     rooted = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
