@@ -17,7 +17,6 @@ lost executor's task is simply run again. The name that a finished task returns
 from __future__ import annotations
 
 import posixpath
-import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,13 +24,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, pieces, texts
+from .common import Words, crc32, flat, pieces, state
 
 MAGIC = b"LFTOKEN1"
 TRAILER = struct.Struct("<QQQQI8s")
@@ -40,53 +40,106 @@ NULL_ID = -(2**63)
 FRAME_BYTES = 1 << 20
 #: Documents of a shard; a shard's table is held in memory while it is written.
 SHARD_DOCS = 100_000
-#: Encoded chunks that a worker keeps.
-KEPT_CHUNKS = 600_000
-KEPT_LENGTH = 48
-#: Characters from U+0180 on, where lower case and composition may depend on each other; below, the tokenizer's own
-#: lower-casing gives what lower() does.
-FAR = re.compile("[^\x00-\u017f]").search
-_OWN: dict[tuple[str, int], "ChunkEncoder"] = {}
+#: Encoded chunks that a worker keeps, and ids of theirs.
+KEPT_CHUNKS = 1_000_000
+KEPT_IDS = 8_000_000
+#: Runs of letters that are encoded as one text.
+RUNS = 500
+#: A text with this in it may hold the tokenizer's special tokens and is encoded whole.
+SPECIAL = "<|"
+MARK = np.isin(np.arange(256), list(b".,;:!?"))
+LETTER = np.array([x < 128 and chr(x).isalpha() for x in range(256)])
 
 
 class ChunkEncoder:
     """Ids of whole texts from a tokenizer that encodes the parts between spaces and line breaks independently.
 
-    That holds for tokenizers whose pre-tokenizer drops white space, as the one for which this is used does. Every part is
-    encoded by the tokenizers library itself; the table of parts already encoded has a bounded size.
+    That holds for tokenizers whose pre-tokenizer drops white space, as the one for which this is used does. Chunks are cut,
+    hashed and looked up as arrays; every chunk that isn't known is encoded by the tokenizers library itself, and so is
+    every whole text that may hold a special token. The tokenizer stays as it is loaded.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.end = end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        table = np.arange(1, 257, dtype=np.uint16)
+        table[[10, 32]] = 0
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks but number 0, the end id."""
+        self.known: dict[int, int] = {}
+        self.ids = np.array([self.end], dtype="<u4")
+        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+
+    def _keep(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, ids.astype("<u4")))
+
+    def _learn(self, hashes: list[int], chunks: list[str]) -> None:
+        """Encode chunks by the library; runs of letters many at a time, told apart by the ids that end a word."""
+        alone = [k for k, x in enumerate(chunks) if not x.isalpha()]
+        letters = [k for k, x in enumerate(chunks) if x.isalpha()]
+        runs = [letters[i : i + RUNS] for i in range(0, len(letters), RUNS)]
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        for own, x in zip(runs, self.tokenizer.encode_batch_fast([" ".join([chunks[k] for k in own]) for own in runs], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(own):
+                found.append((own, np.diff(ends, prepend=0), ids))
+            else:
+                alone += own
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([chunks[k] for k in alone], add_special_tokens=False)]
+        found.append((alone, np.fromiter(map(len, each), dtype=np.int64, count=len(each)), np.fromiter(chain.from_iterable(each), dtype=np.int64)))
+        self._keep([hashes[k] for own, _, _ in found for k in own], np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found]))
+
+    def encode_column(self, column: pa.Array) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each text, with the end id, as binary."""
+        special = pa.compute.fill_null(pa.compute.match_substring(column, SPECIAL), False)
+        if pa.compute.any(special).as_py():
+            rest = iter(self._plain(pa.compute.if_else(special, "", column)).to_pylist())
+            whole = self.tokenizer.encode_batch_fast(column.filter(special).to_pylist(), add_special_tokens=False)
+            own = iter([np.array([*x.ids, self.end], dtype="<u4").tobytes() for x in whole])
+            return pa.array([next(own) if odd else plain for odd, plain in zip(special.to_pylist(), rest, strict=True)], pa.binary())
+        return self._plain(column)
+
+    def _plain(self, column: pa.Array) -> pa.Array:
+        if len(self.known) > KEPT_CHUNKS or len(self.ids) > KEPT_IDS:
+            self.clear()
+        raw, offsets = flat(column)
+        # the library's lower-casing of plain ASCII chunks can be done beforehand; others may depend on composition
+        chunk = np.cumsum((raw == 32) | (raw == 10), dtype=np.int32)
+        ascii_only = np.ones(int(chunk[-1]) + 1 if len(chunk) else 1, dtype=bool)
+        ascii_only[chunk[raw >= 128]] = False
+        raw = np.where((raw >= 65) & (raw < 91) & ascii_only[chunk], raw + 32, raw).astype(np.uint8)
+        del chunk
+        # a mark behind a letter begins a word of its own for the tokenizer
+        marks = np.flatnonzero(MARK[raw[1:]] & LETTER[raw[:-1]]) + 1
+        words = Words(raw, offsets, self.table, marks)
+        hashes, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        names = hashes.tolist()
+        missing = [k for k, x in enumerate(names) if x not in self.known]
+        if missing:
+            data, first, last = raw.tobytes(), words.starts[at].tolist(), words.ends[at].tolist()
+            self._learn([names[k] for k in missing], [data[first[k] : last[k]].decode("utf-8", "replace") for k in missing])
+        place = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[which]
+        place = np.insert(place, words.first[1:], 0)
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        out = self.ids[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate(([0], 4 * ends[words.first[1:] + np.arange(len(words.first) - 1)])).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())])
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [(text if FAR(text) else text.lower()).replace("\n", " ").split(" ") for text in batch]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known = {}
-        known, long = self.known, {}
-        fresh = set(chain.from_iterable(split)).difference(known)
-        # a run of letters and the marks behind it are words of their own, so the run is encoded once for all marks
-        parts: dict[str, tuple[str, str]] = {}
-        for chunk in fresh:
-            run = chunk.rstrip(".,;:!?")
-            if run != chunk and run.isalpha():
-                parts[chunk] = run, chunk[len(run) :]
-        todo = list({*fresh.difference(parts), *chain.from_iterable(parts.values())}.difference(known))
-        for start in range(0, len(todo), 20_000):
-            part = todo[start : start + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(chunk) <= KEPT_LENGTH else long)[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        for chunk, (run, marks) in parts.items():
-            (known if len(chunk) <= KEPT_LENGTH else long)[chunk] = b"".join([long[x] if x in long else known[x] for x in (run, marks)])
-        if long:
-            return [b"".join([long[c] if c in long else known[c] for c in chunks]) + self.end for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
+        return self.encode_column(pa.array(batch, pa.string())).to_pylist()
 
 
 def chunk_encoder(path: str, end_id: int) -> ChunkEncoder:
@@ -94,9 +147,10 @@ def chunk_encoder(path: str, end_id: int) -> ChunkEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, end_id) not in _OWN:
-        _OWN[path, end_id] = ChunkEncoder(path, end_id)
-    return _OWN[path, end_id]
+    own = state("token_file")
+    if (path, end_id) not in own:
+        own[path, end_id] = ChunkEncoder(path, end_id)
+    return own[path, end_id]
 
 
 class ShardWriter:
@@ -192,8 +246,7 @@ def encode(docs: DataFrame, path: str, end_id: int, *, text: str = "text", key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chunk_encoder(path, end_id)
         for batch in pieces(batches, "text", 4 << 20):
-            ids = own.encode_batch(texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.encode_column(batch.column(1))], names=["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
