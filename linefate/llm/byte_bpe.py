@@ -28,15 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PairMap, pieces, texts
+from .common import PairMap, pieces, state, texts
 
 #: Pieces that an encoder keeps encoded; the table is emptied when it holds more.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 300_000
 #: Pieces of more characters are encoded but not kept.
 KEPT_LENGTH = 48
 #: Words of more bytes are replayed one by one.
 LONG_WORD = 192
-_OWN: dict[tuple[str, str], "ByteBPE"] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -235,9 +234,10 @@ LOOSE = re.compile(r"\A\s|\s\s|\s\Z|[^\S \n]").search
 
 def encoder(path: str, pattern: str) -> ByteBPE:
     """One encoder for each worker process."""
-    if (path, pattern) not in _OWN:
-        _OWN[path, pattern] = ByteBPE(path, pattern)
-    return _OWN[path, pattern]
+    own = state("byte_bpe")
+    if (path, pattern) not in own:
+        own[path, pattern] = ByteBPE(path, pattern)
+    return own[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:

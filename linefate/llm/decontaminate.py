@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PairMap, Words, flat, pieces, scratch, word_table
+from .common import PairMap, Words, flat, pieces, scratch, state, word_table
 
 WINDOW = 13
 #: A document is contaminated when hits are at least one of so many of its words.
@@ -31,7 +31,6 @@ AUTOMATON_WORDS = 200_000
 SEGMENT = 256
 IS_WORD = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 TABLE = word_table(IS_WORD)
-_OWN: dict[str, "Automaton"] = {}
 
 
 class Automaton:
@@ -201,7 +200,8 @@ class Automaton:
 def build(items: DataFrame, folder: str, *, window: int = WINDOW, text: str = "text", key: str = "item_id", limit: int = AUTOMATON_WORDS) -> list[str]:
     """Write automata of ``limit`` words or a single item each into the shared folder; return their paths.
 
-    Items are streamed to the driver, one automaton's words at a time. Null texts and texts without words have no windows.
+    Items are streamed to the driver, one automaton's words at a time. Null texts and texts without words have no windows; a null
+    id counts as the empty string.
     """
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
@@ -219,7 +219,7 @@ def build(items: DataFrame, folder: str, *, window: int = WINDOW, text: str = "t
         made.append(posixpath.join(folder, f"items-{len(made)}.npz"))
         held, size = [], 0
 
-    rows = items.select(F.col(key).cast("string"), F.col(text)).dropna().dropDuplicates()
+    rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).where(F.col(text).isNotNull()).dropDuplicates()
     for name, content in rows.toLocalIterator():
         raw = np.frombuffer(content.encode(), dtype=np.uint8)
         hashes = Words(raw, np.array([0, len(raw)]), TABLE).hashes
@@ -236,15 +236,16 @@ def build(items: DataFrame, folder: str, *, window: int = WINDOW, text: str = "t
 
 def _load(path: str, window: int) -> Automaton:
     """The automaton of one file; a worker keeps the last two."""
-    if path not in _OWN:
-        while len(_OWN) > 1:
-            _OWN.pop(next(iter(_OWN)))
+    own = state("decontaminate")
+    if path not in own:
+        while len(own) > 1:
+            own.pop(next(iter(own)))
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_input_file(at) as f:
             held = np.load(io.BytesIO(f.read()))
         cuts = np.cumsum(held["sizes"])[:-1]
-        _OWN[path] = Automaton(list(zip(held["names"].tolist(), np.split(held["hashes"], cuts), strict=True)), window)
-    return _OWN[path]
+        own[path] = Automaton(list(zip(held["names"].tolist(), np.split(held["hashes"], cuts), strict=True)), window)
+    return own[path]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], paths: list[str], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Words, np.ndarray, list[set[str]]]]:

@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialized, scratch
+from .common import materialized, scratch, state
 
 #: Vectors that pivots are picked from, and pivots, at most.
 SAMPLE = 4096
@@ -36,7 +36,6 @@ QUERIES = 2_048
 SCALE = 256
 #: Stands for no score.
 LEAST = -(2**62)
-_OWN: dict[str, dict[str, np.ndarray]] = {}
 
 
 def whole(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -106,14 +105,15 @@ def build(vectors: DataFrame, folder: str, width: int, *, sample: int = SAMPLE,
 
 
 def _load(path: str) -> dict[str, np.ndarray]:
-    if path not in _OWN:
-        while len(_OWN) > 3:
-            _OWN.pop(next(iter(_OWN)))
+    own = state("topk_search")
+    if path not in own:
+        while len(own) > 3:
+            own.pop(next(iter(own)))
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_input_file(at) as f:
             held = np.load(io.BytesIO(f.read()))
-            _OWN[path] = {name: held[name] for name in held.files}
-    return _OWN[path]
+            own[path] = {name: held[name] for name in held.files}
+    return own[path]
 
 
 class Best:
