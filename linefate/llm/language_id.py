@@ -14,17 +14,17 @@ from __future__ import annotations
 
 import io
 import posixpath
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, scratch, texts
+from .common import held_out, pieces, scratch, state, texts
 
 #: Labelled documents of each language that are learned from at most, and characters of each (bounds of the sample).
 LEARN_DOCS = 192
@@ -34,12 +34,10 @@ LEARN_CHARS = 120_000
 MIN_COUNT = 2
 #: Times that lines of another language are left out and the automata built again.
 PURIFY = 2
-#: Languages that can be told apart at most: those with most labelled documents.
-MOST_LANGUAGES = 64
-KEPT_RUNS = 300_000
+KEPT_RUNS = 200_000
 KEPT_LENGTH = 48
-LETTERS = re.compile(r"[^\W\d_]+")
-_OWN: dict[str, "CrossParser"] = {}
+#: Letters alone; signs that count as numbers, such as a half or a Roman eight, are none.
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def automaton(text: str, min_count: int = MIN_COUNT) -> dict[int, int]:
@@ -180,14 +178,13 @@ def fit(docs: DataFrame, folder: str, *, text: str = "text", lang: str = "lang",
     """Learn from documents that aren't held out and have a label; write the automata into the shared folder.
 
     The sample is bounded: of each language one document for each of LEARN_DOCS values of a hash, and LEARN_DOC_CHARS
-    characters of it. Classification, in contrast, always takes whole texts.
+    characters of it; every label is learned. Classification, in contrast, always takes whole texts.
     """
     order = F.xxhash64(key, text)
     rows = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = rows.groupBy(F.col(lang).alias("lang"), F.pmod(order, F.lit(LEARN_DOCS)).alias("slot")).agg(F.min_by(F.substring(F.col(text), 1, LEARN_DOC_CHARS), order).alias("text"), F.count(F.lit(1)).alias("n"))
-    most = picked.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    picked = rows.groupBy(F.col(lang).alias("lang"), F.pmod(order, F.lit(LEARN_DOCS)).alias("slot")).agg(F.min_by(F.substring(F.col(text), 1, LEARN_DOC_CHARS), order).alias("text"))
     sample: dict[str, list[str]] = {}
-    for row in picked.join(F.broadcast(most.select("lang")), "lang").orderBy("lang", "slot").collect():
+    for row in picked.orderBy("lang", "slot").collect():
         sample.setdefault(row["lang"], []).append(row["text"])
     automata = learn(sample)
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -201,13 +198,14 @@ def fit(docs: DataFrame, folder: str, *, text: str = "text", lang: str = "lang",
 
 
 def _load(path: str) -> CrossParser:
-    if path not in _OWN:
-        _OWN.clear()
+    own = state("language_id")
+    if path not in own:
+        own.clear()
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_input_file(at) as f:
             held = np.load(io.BytesIO(f.read()))
-        _OWN[path] = CrossParser({name: dict(zip(held[f"k{i}"].tolist(), held[f"v{i}"].tolist(), strict=True)) for i, name in enumerate(held["names"].tolist())})
-    return _OWN[path]
+        own[path] = CrossParser({name: dict(zip(held[f"k{i}"].tolist(), held[f"v{i}"].tolist(), strict=True)) for i, name in enumerate(held["names"].tolist())})
+    return own[path]
 
 
 def classify(docs: DataFrame, model: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
