@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held_out, pieces, scratch, texts
+from .common import flat, held_out, pieces, scratch, state, texts
 
 #: Labelled rows of each label that are learned from at most; texts of more characters are not learned from (they are scored).
 LEARN_ROWS = 1500
@@ -41,7 +41,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 LEX, LEARNED, SECOND, CAPS, HIDDEN, MIXED, LONG = (1 << k for k in range(7))
 NAMES = ("log_pieces", "lexicon", "lexicon_count", "learned", "learned_count", "weight_sum", "weight_mean", "weight_most", "second", "near", "least_gap", "caps_words", "hidden", "mixed", "long", "capitals", "exclaim", "question", "other_marks", "digits", "beyond_ascii")
-_OWN: dict[str, "Model"] = {}
 
 
 def plain(piece: str) -> str:
@@ -84,21 +83,30 @@ class Features:
         known = self.known
         ids = list(map(known.get, split))
         if None in ids:
+            # pieces too long to keep get numbers behind those of all that are kept, for this text alone
+            own: dict[str, int] = {}
             for k, i in enumerate(ids):
                 if i is None:
                     piece = split[k]
                     i = known.get(piece)
-                    if i is None:
-                        i = len(known)
-                        # pieces too long to keep share the place of their key's head and flags
-                        known[piece if len(piece) <= KEPT_LENGTH else f"\0{piece[:KEPT_LENGTH]}{len(piece)}{hash(piece)}"] = i
-                        if i >= len(self.flags):
-                            self.flags = np.concatenate((self.flags, np.zeros_like(self.flags)))
-                            self.weights = np.concatenate((self.weights, np.zeros_like(self.weights)))
-                        self.flags[i], self.weights[i] = self._flag(piece)
-                    ids[k] = i
+                    if i is None and len(piece) <= KEPT_LENGTH:
+                        i = known[piece] = len(known)
+                        self._put(i, piece)
+                    ids[k] = -1 if i is None else i
+            for k, i in enumerate(ids):
+                if i == -1:
+                    if split[k] not in own:
+                        own[split[k]] = len(known) + len(own)
+                        self._put(own[split[k]], split[k])
+                    ids[k] = own[split[k]]
         return ids
 
+    def _put(self, i: int, piece: str) -> None:
+        if i >= len(self.flags):
+            self.flags = np.concatenate((self.flags, np.zeros_like(self.flags)))
+            self.weights = np.concatenate((self.weights, np.zeros_like(self.weights)))
+        self.flags[i], self.weights[i] = self._flag(piece)
+
     def __call__(self, column: pa.Array) -> np.ndarray:
         """(texts, features)."""
         raw, offsets = flat(column)
@@ -217,10 +225,7 @@ class Model:
         margin = self.trees.margin(self.features(column))
         if not len(self.knots):
             return np.full(len(margin), self.share)
-        # a little of the trees' own order is kept where the isotonic fit is flat; it stays on its side of one half
-        step = np.interp(margin, self.knots, self.values)
-        order = 1 / (1 + np.exp(-margin))
-        return np.clip(np.where(step >= 0.5, np.maximum(0.5, step - 0.02 * (1 - order)), np.minimum(0.4999, step + 0.02 * order)), 0.0, 1.0)
+        return np.clip(np.interp(margin, self.knots, self.values), 0.0, 1.0)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "features"}
@@ -311,12 +316,13 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str) -> str:
 
 
 def _load(path: str) -> Model:
-    if path not in _OWN:
-        _OWN.clear()
+    own = state("toxicity")
+    if path not in own:
+        own.clear()
         fs, at = pyarrow.fs.FileSystem.from_uri(path)
         with fs.open_input_file(at) as f:
-            _OWN[path] = pickle.loads(f.read())
-    return _OWN[path]
+            own[path] = pickle.loads(f.read())
+    return own[path]
 
 
 def score(docs: DataFrame, model: str) -> DataFrame:
