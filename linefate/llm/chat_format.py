@@ -1,9 +1,12 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation's turns are put into windows of about ``budget`` tokens. The prefix sum of the turns' tokens chooses each
-turn's window, so windows begin and end at turns; a first turn of the role system is repeated at the head of every later
-window, and up to ``history`` tokens of the turns before a window are repeated behind it. The loss mask covers the text of
-assistant turns where they stand first, never a repeated one.
+A conversation's turns are put into windows of at most ``budget`` tokens; one that fits whole is one window. Else the prefix
+sums of the turns' tokens choose the spans: they are marked off in strides, a span takes the turns that lie within one
+stride, and a turn that crosses from one into another is a span of its own. So a span is a stride long at most, or one
+turn. A first turn of the role system is repeated at the head of every later window, and up to ``history`` tokens of the
+span before, as far as the budget leaves room, behind it. A stride is the budget less the system turn and the history. A
+turn that doesn't fit beside the system turn stands in a window without history, the only kind that exceeds the budget.
+The loss mask covers the text of assistant turns where they stand first, never a repeated one.
 
 A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts a backslash becomes two and ``<|`` becomes ``<\\|``, so no
 text can hold a control string and each can be read back. In roles ``%``, line breaks and ``<`` are written as %25, %0A, %3C.
@@ -39,33 +42,41 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
     """(conv_id, window, text, n_repeated, loss array<struct<start, size>>) from (conv_id, turn, role, text).
 
     start counts the characters of the window's text before a target, size its characters. Null texts and roles are empty;
     turns are ordered by turn, nulls first, and ties by role and text, so repeated rows are turns of their own. A null
-    conv_id is a conversation. A turn longer than a window has one of its own that exceeds the budget.
+    conv_id is a conversation. ``tokens`` names a column of token counts of the written turns; without it, or where it is
+    null, they are the characters divided by CHARS_PER_TOKEN, rounded up.
     """
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    given = F.lit(None).cast("long") if tokens is None else F.col(tokens).cast("long")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), given.alias("tokens"))
     written = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
     by_turn = Window.partitionBy("conv_id").orderBy(*order)
+    whole = by_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = by_turn.rowsBetween(Window.unboundedPreceding, -1)
     later = by_turn.rowsBetween(1, Window.unboundedFollowing)
-    stride = max(1, (budget - history) // 2)
+    # what the system turn leaves; a turn of no tokens lies where it begins
+    system = F.coalesce(F.first(F.when((F.col("pos") == 1) & (F.col("role") == "system"), F.col("tokens"))).over(by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    first, last = F.floor(F.col("before") / F.col("stride")), F.floor(F.greatest(F.col("before"), F.col("before") + F.col("tokens") - 1) / F.col("stride"))
     placed = (
         rows.withColumn("written", written)
-        .withColumn("tokens", F.ceil(F.length("written") / CHARS_PER_TOKEN))
+        .withColumn("tokens", F.coalesce("tokens", F.ceil(F.length("written") / CHARS_PER_TOKEN)))
         .withColumn("pos", F.row_number().over(by_turn))
         .withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
-        .withColumn("window", F.floor(F.col("before") / stride))
+        .withColumn("system", system)
+        .withColumn("stride", F.greatest(F.lit(1), budget - history - F.col("system")))
+        .withColumn("window", F.when(F.sum("tokens").over(whole) <= budget, F.lit(0)).otherwise(2 * first + F.when(first == last, 0).otherwise(1)))
         .withColumn("opens", F.coalesce(F.col("window") != F.lag("window").over(by_turn), F.lit(True)))
         .withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
-        .withColumn("next_start", F.first(F.when(F.col("opens"), F.col("before")), ignorenulls=True).over(later))
-        .withColumn("next_window", F.first(F.when(F.col("opens"), F.col("window")), ignorenulls=True).over(later))
+        .withColumn("room", F.least(F.lit(history), budget - F.col("system") - F.sum("tokens").over(Window.partitionBy("conv_id", "window"))))
+        .withColumn("next", F.first(F.when(F.col("opens"), F.struct("window", "before", "room")), ignorenulls=True).over(later))
+        .withColumn("next_window", F.col("next.window"))
         .withColumn("head", F.first(F.when(F.col("is_system"), F.col("written"))).over(by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
-    again = F.col("next_window").isNotNull() & ~F.col("is_system") & (F.col("next_start") - F.col("before") <= history)
+    again = F.col("next_window").isNotNull() & ~F.col("is_system") & (F.col("next.before") - F.col("before") <= F.col("next.room"))
     head = F.when(F.col("opens") & (F.col("pos") > 1), F.col("head"))
     own = F.struct(F.col("window"), F.lit(False).alias("repeated"), head.alias("head"))
     copy = F.struct(F.col("next_window").alias("window"), F.lit(True).alias("repeated"), F.lit(None).cast("string").alias("head"))
@@ -137,21 +148,26 @@ WITH c AS (
 w AS (SELECT *, 12 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + 1
   + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS size,
   row_number() OVER t AS pos FROM c WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, coalesce(sum((size + 3) // 4) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
-x AS (SELECT *, before // {(BUDGET - HISTORY) // 2} AS win FROM b),
+k AS (SELECT *, (size + 3) // 4 AS tok FROM w),
+b AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys,
+  max(CASE WHEN pos = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS head, sum(tok) OVER (PARTITION BY conv_id) AS total FROM k),
+g AS (SELECT *, greatest(1, {BUDGET} - {HISTORY} - sys) AS stride FROM b),
+x AS (SELECT *, CASE WHEN total <= {BUDGET} THEN 0 WHEN before // stride = (before + tok - 1) // stride THEN 2 * (before // stride) ELSE 2 * (before // stride) + 1 END AS win FROM g),
 o AS (SELECT *, coalesce(win <> lag(win) OVER (PARTITION BY conv_id ORDER BY pos), true) AS opens,
-  max(CASE WHEN pos = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS head FROM x),
-n AS (SELECT *, min(CASE WHEN opens THEN before END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_start FROM o)
+  least({HISTORY}, {BUDGET} - sys - sum(tok) OVER (PARTITION BY conv_id, win)) AS room FROM x),
+n AS (SELECT *, min(CASE WHEN opens THEN pos END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_pos FROM o),
+m AS (SELECT n.*, p.before AS next_start, p.room AS next_room FROM n LEFT JOIN o p ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.next_pos = p.pos)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(size + CASE WHEN next_start - before <= {HISTORY} AND NOT (pos = 1 AND role = 'system') THEN size ELSE 0 END
+  CAST(sum(size + CASE WHEN next_start - before <= next_room AND NOT (pos = 1 AND role = 'system') THEN size ELSE 0 END
     + CASE WHEN opens AND pos > 1 THEN coalesce(head, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM n GROUP BY conv_id
+FROM m GROUP BY conv_id
 """
 
 
 def with_hostile(conversations: DataFrame) -> DataFrame:
-    rows = [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)]
     own = conversations.select("conv_id", "turn", "role", "text")
-    return own.unionByName(conversations.sparkSession.createDataFrame(rows, own.schema))
+    rows = conversations.sparkSession.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}') AS t(conv_id, turn, role, text)")
+    return own.unionByName(rows.select(*[F.col(f.name).cast(f.dataType) for f in own.schema]))
