@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from linefate.llm import chat_format, jaccard_join, language_id, line_dedup, topk_search, toxicity
 from linefate.llm.common import scratch
@@ -222,6 +223,122 @@ def test_chat_windows(spark):
     assert chat_format.digests(chat_format.windows(df.where("false"))).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(8)
+    tokens = lambda text: -(-len(text) // 4)
+    rows = []
+    for conv in range(40):
+        if conv % 3 == 0:
+            rows.append((conv, 0, "system", "s" * rng.choice([10, 3000, 7000])))
+        rows += [(conv, i, rng.choice(["user", "assistant"]), "x" * rng.choice([4, 700, 2800, 6000, 7900, 20_000])) for i in range(1, rng.choice([2, 5, 25]))]
+    rows += [(90, 1, "user", "x" * 2900), (90, 2, "assistant", "y" * 8000), (91, 0, "user", "x" * 3000), (91, 1, "assistant", "y" * 4900)]
+    held = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    windows = defaultdict(list)
+    for r in held:
+        turns = ["<|im_start|>" + x for x in r.text.split("<|im_start|>")[1:]]
+        windows[r.conv_id].append((r.window, [tokens(x) for x in turns], r.n_repeated, turns[0].startswith("<|im_start|>system")))
+    for own in windows.values():
+        for _, sizes, repeated, has_system in own:
+            if sum(sizes) > chat_format.BUDGET:
+                assert len(sizes) == 1 + has_system and repeated <= has_system and sizes[-1] + has_system * sizes[0] > chat_format.BUDGET, "only a turn that fits nowhere exceeds it"
+    assert len(windows[90]) == 2 and len(windows[91]) == 1, "what fits whole stays whole"
+    given = spark.createDataFrame([(1, i, "user", "a", 1500) for i in range(4)], "conv_id long, turn long, role string, text string, cost long")
+    assert chat_format.windows(given, tokens="cost").count() == 4
+
+
+def test_scores_know_nothing_of_other_texts():
+    learned = {"idiot": 3.0, "idio*": 2.0}
+    texts = ["x" * 50 + " " + "x" * 50 + " idiot you", "z" * 60 + " fine " + "z" * 60, "you idiot", "", "q" * 49 + " ID1OT " + "q" * 49 + " " + "r" * 49]
+    alone = [toxicity.Features(learned)(pa.array([t]))[0].tolist() for t in texts]
+    assert alone[0][1] == 0.25
+    rng, shared = random.Random(1), toxicity.Features(learned)
+    for _ in range(20):
+        order = [rng.randrange(len(texts)) for _ in range(rng.randint(1, 8))]
+        assert shared(pa.array([texts[k] for k in order])).tolist() == [alone[k] for k in order]
+
+
+def test_trees_and_isotonic_step_by_hand():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    y = (x[:, 1] + rng.normal(0, 0.2, 300) > 0.6).astype(float)
+    one = toxicity.Trees(rounds=1, depth=1, rate=1.0).fit(x, y)
+    p = y.mean()
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    gain = {(f, c): sum(grad[m].sum() ** 2 / (hess[m].sum() + 1) for m in (x[:, f] <= c, x[:, f] > c)) for f in range(3) for c in one.cuts[f] if min((x[:, f] <= c).sum(), (x[:, f] > c).sum()) * p * (1 - p) >= 2}
+    f, c = max(gain, key=gain.get)
+    assert one.trees[0][1][0] == f and one.cuts[f][one.trees[0][1][1]] == c
+    side = x[:, f] <= c
+    want = np.where(side, -grad[side].sum() / (hess[side].sum() + 1), -grad[~side].sum() / (hess[~side].sum() + 1)) + np.log(p / (1 - p))
+    assert np.allclose(one.margin(x), want)
+    margin, weight = np.arange(30.0), rng.random(30) + 0.1
+    label = rng.integers(0, 2, 30).astype(float)
+    knots, values = toxicity.isotonic(margin, label, weight)
+    # the least-squares monotone fit at i is the greatest, over beginnings, of the least mean over ends
+    mean = lambda a, b: (label[a:b] * weight[a:b]).sum() / weight[a:b].sum()
+    fit = [max(min(mean(a, b) for b in range(i + 1, 31)) for a in range(i + 1)) for i in range(30)]
+    assert np.all(np.diff(values) > 0) and np.allclose(sorted({round(v, 9) for v in fit}), np.round(values, 9))
+
+
+def test_languages_by_hand(spark):
+    automata = language_id.learn({"aa": ["banana bandana ananas"], "bb": ["xyz zyx xxyyzz yzx"], "cc": ["noon moon onno moon"]})
+    parser = language_id.CrossParser(automata)
+
+    def parsed(text, steps):
+        n = 0
+        for run in re.findall("[a-z]+", text):
+            whole, at = f" {run} ", 0
+            while at < len(whole):
+                state, size = 0, 0
+                while at + size < len(whole) and (state << 21 | ord(whole[at + size])) in steps:
+                    state, size = steps[state << 21 | ord(whole[at + size])], size + 1
+                at, n = at + max(1, size), n + 1
+        return n
+
+    for text in ("banana nanas", "zyxxy", "moon noon banana", "q", "aaa xyz noon"):
+        want = {name: parsed(text, steps) for name, steps in automata.items()}
+        assert parser.predict(text)[0] == min(want, key=lambda name: (want[name], name))
+    assert [parser.predict(t) for t in ("½ ² ① Ⅷ 12 _", "", "...")] == [("und", 0.0)] * 3
+    many = [(i, "".join(rng.choice(letters) for _ in range(200)), f"l{i % 70}") for rng in [random.Random(2)] for letters in ["abcdefgh"] for i in range(700)]
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    held = language_id._load(language_id.fit(df, scratch(spark, "languages")))
+    assert held.names == sorted({x for _, _, x in many}), "every label is learned"
+
+
+def test_trie_pairs_lose_no_link():
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(40):
+        base = rng.choice(5000, 120, replace=False)
+        sets = []
+        for _ in range(30):
+            own = base[rng.random(120) > rng.choice([0.0, 0.05, 0.11, 0.2])]
+            sets.append(np.unique(np.concatenate((own, 5000 + rng.integers(0, 10**6, rng.integers(0, 16))))) + 1)
+        n = np.array([len(s) for s in sets])
+        heads = [s[:k] for s, k in zip(sets, jaccard_join.prefix_length(n, 80), strict=True)]
+        times = defaultdict(int)
+        for h in heads:
+            for t in h.tolist():
+                times[t] += 1
+        rows = []
+        for i, h in enumerate(heads):
+            common = [(k, t) for k, t in enumerate(h.tolist()) if times[t] > 1]
+            for k, (pos, t) in enumerate(common):
+                pad = lambda x, size: (list(x) + [0] * size)[:size]
+                rows.append((t, pad([y for _, y in common[k + 1 :]], 3), pad([y for _, y in common[max(0, k - 2) : k]], 2), n[i], len(common) - k - 1, pos, i, i))
+        gram, tokens, before, *rest = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+        a, b = jaccard_join.trie_pairs(gram, tokens, before, *rest, 80)
+        found = {tuple(sorted(p)) for p in zip(rest[-1][a].tolist(), rest[-1][b].tolist(), strict=True)}
+        links = {(i, j) for j in range(30) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+        lost += len(links - found)
+    assert lost == 0
+
+
+def test_nul_is_part_of_a_word(spark):
+    rows = [(1, "a b\0c d e f"), (2, "a b c d e f"), (3, "A b\0c d e f")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1)}
+
+
 def test_pipeline(spark, odd, nothing, tmp_path):
     import corpus_pipeline
 

@@ -68,8 +68,8 @@ def test_chunks_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
-    texts = [*random_texts(400), "<|endoftext|> <|startoftext|>a", "ΑΣ ΑΣ. İ"]
+    marks = ["J\u030c j\u030c", "I\u0307A i\u0307", "\u212a K\u0301", "x \u0301y\u0301", "don't DON'T it's.", "\u00a0a\u2003b\tc\rd"]
+    texts = [*random_texts(400), *marks, "<|endoftext|> <|startoftext|>a", "Hello<|ENDOFTEXT|> <|x", "ΑΣ ΑΣ. İ", "w" * 70_000]
     want = [x.ids + [1] for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in token_file.ChunkEncoder(WORD, 1).encode_batch(texts)] == want
 
