@@ -34,8 +34,8 @@ def fingerprint(tokens: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Adjacent pairs of tokens between a start and an end mark; one more than there are tokens."""
-    marked = F.concat(F.array(F.lit("\u0001")), tokens, F.array(F.lit("\u0002")))
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) + 1), lambda i: F.concat_ws("\u0003", F.element_at(marked, i), F.element_at(marked, i + 1)))
+    left, right = F.concat(F.array(F.lit("\u0001")), tokens), F.concat(tokens, F.array(F.lit("\u0002")))
+    return F.zip_with(left, right, lambda x, y: F.concat_ws("\u0003", x, y))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -44,9 +44,20 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def shared_multiset(a: Column, b: Column) -> Column:
-    """Members of the intersection of two arrays taken as multisets."""
-    count = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)))
+    """Members of the intersection of two arrays taken as multisets: equal members are numbered, then the sets meet."""
+
+    def numbered(x: Column) -> Column:
+        # in sorted order the number of a member is how far it stands behind the first of its kind
+        held = F.array_sort(x)
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+
+        def step(s: Column, v: Column) -> Column:
+            n = F.when(s["last"] == v, s["n"] + 1).otherwise(0)
+            return F.struct(F.concat(s["out"], F.array(F.concat_ws("\u0004", v, n.cast("string")))).alias("out"), v.alias("last"), n.alias("n"))
+
+        return F.aggregate(held, start, step)["out"]
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,29 +62,18 @@ def repaired(times: list[int]) -> list[int]:
     longest subsequences the one whose values are least at each length is kept.
     """
     tails: list[int] = []
-    at: list[int] = []
-    back = [-1] * len(times)
-    for i, t in enumerate(times):
-        k = bisect.bisect_right(tails, t)
-        back[i] = at[k - 1] if k else -1
-        if k == len(tails):
-            tails.append(t)
-            at.append(i)
-        else:
-            tails[k], at[k] = t, i
-    kept, i = set(), at[-1] if at else -1
-    while i >= 0:
-        kept.add(i)
-        i = back[i]
-    ceilings: list[float] = []
-    ceiling = float("inf")
-    for i in reversed(range(len(times))):
-        ceiling = times[i] if i in kept else ceiling
-        ceilings.append(ceiling)
-    out: list[int] = []
-    for t, ceiling in zip(times, reversed(ceilings), strict=True):
-        out.append(max([min(t, ceiling), *out[-1:]]))
-    return out
+    length = []
+    for t in times:
+        length.append(bisect.bisect_right(tails, t))
+        tails[length[-1] : length[-1] + 1] = [t]
+    stays = np.zeros(len(times), dtype=bool)
+    wanted = len(tails) - 1
+    for i in range(len(times) - 1, -1, -1):
+        if length[i] == wanted:
+            stays[i], wanted = True, wanted - 1
+    own = np.array(times, dtype=np.int64)
+    after = np.where(stays, own, np.iinfo(np.int64).max)
+    return np.maximum.accumulate(np.minimum(own, np.minimum.accumulate(after[::-1])[::-1])).tolist() if times else []
 
 
 def monotone_clock(commits: DataFrame, by: str) -> DataFrame:
