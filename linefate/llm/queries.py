@@ -63,7 +63,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_language_id, op3_token_counts, op4_token_file, op5_decontamination, op6_jaccard_join, op7_byte_bpe, op8_topk_search, op9_line_dedup, op10_chat_format)
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS k FROM i WHERE len(w) > 0)),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+dw AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS gram FROM pos, (SELECT DISTINCT size FROM iw) WHERE k + size - 1 <= len(w)),
+m AS (SELECT dw.doc_id, dw.k, dw.size, iw.item_id FROM dw JOIN iw USING (size, gram)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS p FROM m) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS grams FROM d),
+n AS (SELECT doc_id, len(grams) AS n_shingles, CASE WHEN len(grams) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(grams), chr(10)))) END AS node FROM s),
+g AS (SELECT s.doc_id AS node, n_shingles, unnest(grams) AS gram FROM s JOIN n ON n.doc_id = s.doc_id AND n.node = s.doc_id),
+e AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node GROUP BY 1, 2, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 80 * (a.n_shingles + b.n_shingles - count(*))),
+r AS (SELECT DISTINCT node AS node, node AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM n JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) USING (node)""",
     "op8_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
