@@ -166,7 +166,40 @@ def ago(seconds: Column) -> Column:
 
 
 def days_text(days: Column) -> Column:
-    return F.when(days < 10, F.format_string("%.1f", days)).otherwise(F.format_string("%.0f", days))
+    return F.when(days < 10, F.format_string("%.1f", days)).when(days >= 10, F.format_string("%.0f", days))
+
+
+def survival_cell(point: Column, low: Column, high: Column) -> Column:
+    """Three decimals, with the band behind them where both its ends are known."""
+    cell = F.format_string("%.3f", point)
+    return F.when(low.isNotNull() & high.isNotNull(), F.format_string("%.3f (%.3f-%.3f)", point, low, high)).otherwise(cell)
+
+
+def median_cell(median: Column, low: Column, high: Column) -> Column:
+    """The median in days, or that it isn't reached; then its band, whose upper end may lie beyond the data."""
+    shown = lambda c: F.concat(days_text(c), F.lit(" days"))
+    band = F.when(low.isNull(), "").when(high.isNull(), F.concat(F.lit(" (at least "), shown(low), F.lit(")"))).otherwise(F.concat(F.lit(" ("), shown(low), F.lit("-"), shown(high), F.lit(")")))
+    return F.concat(F.coalesce(shown(median), F.lit("not reached")), band)
+
+
+def short_id(commit: Column) -> Column:
+    return F.left(commit, F.lit(8))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.when(n == 1, one).otherwise(many)
+
+
+def url_text(text: Column) -> Column:
+    """Text of a URL part: ``%XX`` is a byte, ``+`` a space; a ``%`` without two hex digits stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def query_value(query: Column, name: str) -> Column:
+    """Value of a parameter in a URL's query: of several the last, empty if it has no ``=``, null if it isn't there."""
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
+    held = F.filter(pairs, lambda x: url_text(F.substring_index(x, "=", 1)) == name)
+    return url_text(F.regexp_replace(F.try_element_at(held, F.lit(-1)), "^[^=]*=?", ""))
 
 
 def truncate_left(text: Column, width: int) -> Column:

@@ -85,3 +85,13 @@ def monotone_clock(commits: DataFrame, by: str) -> DataFrame:
         return pdf.assign(clock=repaired([int(x) for x in pdf["committed_at"]]))
 
     return commits.select(by, "ord", "committed_at").groupBy(by).applyInPandas(run, schema)
+
+
+def resumed(commits: DataFrame, recorded: DataFrame, *by: str) -> DataFrame:
+    """Commits (by, ord, sha) that come after the last one recorded (by, sha); where none is recorded, all of them.
+
+    One row for each history is joined, so nothing but the commits themselves is shuffled.
+    """
+    last = commits.join(recorded.select(*by, "sha").distinct(), [*by, "sha"], "left_semi").groupBy(*by).agg(F.max("ord").alias("__last"))
+    joined = commits.join(last, list(by), "left") if by else commits.join(last.withColumn("__one", F.lit(1)), F.col("__one") == 1, "left").drop("__one")
+    return joined.where(F.col("__last").isNull() | (F.col("ord") > F.col("__last"))).drop("__last")

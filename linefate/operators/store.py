@@ -52,11 +52,17 @@ def returning(parked: DataFrame, born: DataFrame) -> DataFrame:
 
 
 def numbered(born: DataFrame, first_id: int) -> DataFrame:
-    """line_id in birth order: commit, path, line. Ranks are taken inside commits and files first; only counts are summed over all."""
+    """line_id in birth order: commit, path, line.
+
+    Lines are ranked inside their file and files inside their commit; only one number for each commit is summed over all.
+    """
     per_file = born.groupBy("ord", "path").agg(F.count(F.lit(1)).alias("n"))
-    starts = per_file.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("ord", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = per_file.select("ord", "path", earlier(Window.partitionBy("ord").orderBy("path")).alias("__files"))
+    commits = per_file.groupBy("ord").agg(F.sum("n").alias("n")).select("ord", earlier(Window.orderBy("ord")).alias("__commits"))
     inside = F.row_number().over(Window.partitionBy("ord", "path").orderBy("line"))
-    return born.join(starts.drop("n"), ["ord", "path"]).withColumn("line_id", F.lit(first_id) + F.col("before") + inside).drop("before")
+    held = born.join(files, ["ord", "path"]).join(commits, "ord")
+    return held.withColumn("line_id", F.lit(first_id) + F.col("__commits") + F.col("__files") + inside).drop("__files", "__commits")
 
 
 def checkpoints(lines: DataFrame, seen: DataFrame) -> DataFrame:
@@ -100,7 +106,8 @@ def reconcile_classes(stored: DataFrame, head: DataFrame, disk: DataFrame, paren
 
 
 def session_status(lines: DataFrame, fates: DataFrame, alive: DataFrame) -> DataFrame:
-    """One row for each session: written, alive, committed, edited, revised, deleted lines and their shares."""
+    """One row for each session: written, alive, committed, edited and deleted lines, shares, and, where lines tell their
+    origin, those that a person revised."""
     found = fates.groupBy("line_id").agg(F.bool_or(F.col("state") == "edited").alias("edited"), F.bool_or(F.col("state") == "dead").alias("deleted"))
     held = lines.where("session_id is not null").join(found, "line_id", "left").join(alive.select("line_id", F.lit(True).alias("alive")), "line_id", "left")
     out = held.groupBy("session_id").agg(
@@ -109,6 +116,7 @@ def session_status(lines: DataFrame, fates: DataFrame, alive: DataFrame) -> Data
         F.count_if(F.col("birth_commit").isNotNull()).alias("committed"),
         F.count_if("edited").alias("edited"),
         F.count_if("deleted").alias("deleted"),
+        *([F.count_if(F.col("origin") == "agent_then_human_revised").alias("revised")] if "origin" in lines.columns else []),
     )
     return out.withColumn("alive_share", F.col("alive") / F.col("written")).withColumn("edited_share", F.col("edited") / F.col("written"))
 
@@ -122,3 +130,91 @@ def ancestors(parents: DataFrame, start: str) -> DataFrame:
         if new.isEmpty():
             return seen
         seen, frontier = seen.unionByName(new), new
+
+
+# fixed values: keys of ``meta`` and the state of a backfill that hasn't finished
+CAPTURE_STARTED = "capture.started"
+BACKFILL_STATE = "backfill.state"
+BACKFILL_RUNNING = "running"
+
+
+def set_meta(meta: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, value) with the values of ``new`` over those that were there."""
+    return replace_groups(meta, new.select("key", "value"), "key")
+
+
+def stamp_capture(meta: DataFrame, at: int) -> DataFrame:
+    """``meta`` with the time at which live capture began; the first stamp stays."""
+    return insert_absent(meta, meta.sparkSession.createDataFrame([(CAPTURE_STARTED, str(at))], "key string, value string"), "key")
+
+
+def captured(meta: DataFrame, sessions: DataFrame, fates: DataFrame, commits: DataFrame) -> DataFrame:
+    """One row of what live capture has recorded: stamped, sessions, write_fates, reconciled_commits, has_commits.
+
+    Each table is brought down to its one row of counts first, so only four rows meet.
+    """
+    one = lambda df, *counts: df.agg(*counts).withColumn("__one", F.lit(1))
+    parts = [
+        one(meta, (F.count_if(F.col("key") == CAPTURE_STARTED) > 0).alias("stamped")),
+        one(sessions, F.count(F.lit(1)).alias("sessions")),
+        one(fates, F.count_if(F.col("observed_commit").isNull()).alias("write_fates")),
+        one(commits, F.count_if(F.col("observed_by") == "reconcile").alias("reconciled_commits"), (F.count(F.lit(1)) > 0).alias("has_commits")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "__one")
+    return out.drop("__one")
+
+
+def unfinished(meta: DataFrame) -> DataFrame:
+    """The row of ``meta`` that says that a backfill was begun and not finished; captures wait for it."""
+    return meta.where((F.col("key") == BACKFILL_STATE) & (F.col("value") == BACKFILL_RUNNING))
+
+
+def session_lines(sessions: DataFrame, lines: DataFrame, session: str | None = None) -> DataFrame:
+    """Lines that a session wrote: the one named, or the one that began last (of a tie, the greatest ``seq``)."""
+    if session is not None:
+        return lines.where(F.col("session_id") == session)
+    # one row at most, so the join is a broadcast of one id
+    latest = sessions.orderBy(F.desc("started_at"), F.desc("seq")).limit(1).select("session_id")
+    return lines.join(F.broadcast(latest), "session_id", "left_semi")
+
+
+def delta_counts(born: DataFrame, fates: DataFrame) -> DataFrame:
+    """(state, n) of what one reconciliation changes; ``born`` counts its new lines."""
+    return fates.groupBy("state").agg(F.count(F.lit(1)).alias("n")).unionByName(born.agg(F.lit("born").alias("state"), F.count(F.lit(1)).alias("n")))
+
+
+def named(df: DataFrame, *sources: DataFrame, column: str = "file_path_hash") -> DataFrame:
+    """``df`` with the name of each path hash: (file_path_hash, path) of the first source that has it, else a note that it's gone."""
+    every = None
+    for rank, source in enumerate(sources):
+        one = source.select(F.col("file_path_hash").alias("__hash"), F.struct(F.lit(rank).alias("rank"), F.col("path").alias("path")).alias("__at"))
+        every = one if every is None else every.unionByName(one)
+    names = every.groupBy("__hash").agg(F.min("__at").alias("__at"))
+    gone = F.concat(F.lit("a file no longer present (path hash "), F.col(column), F.lit(")"))
+    return df.join(names, F.col(column) == F.col("__hash"), "left").withColumn("name", F.coalesce("__at.path", gone)).drop("__hash", "__at")
+
+
+def unmatched(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only one side has, ``missing`` from ``held`` or ``unknown`` to ``wanted``."""
+    w, h = wanted.select(key).distinct(), held.select(key).distinct()
+    return w.join(h, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(h.join(w, key, "left_anti").withColumn("side", F.lit("unknown")))
+
+
+def unaccounted(live: DataFrame, present: DataFrame, dead: DataFrame, *key: str) -> DataFrame:
+    """Keys that were alive and are now neither present nor declared dead."""
+    return live.select(*key).distinct().join(present.select(*key).distinct(), list(key), "left_anti").join(dead.select(*key).distinct(), list(key), "left_anti")
+
+
+def audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, columns, row): every row of every table as JSON, nulls kept, with the table's column names and types."""
+    out = None
+    for name in sorted(tables):
+        df = tables[name]
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+        one = df.select(F.lit(name).alias("table"), F.lit(df.schema.simpleString()).alias("columns"), row.alias("row"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no tables")
+    return out

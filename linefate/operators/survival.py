@@ -107,11 +107,20 @@ def known_alive(observed: DataFrame, ages: list[float], *by: str) -> DataFrame:
 def top_groups(pop: DataFrame, key: Column, most: int = MOST_GROUPS) -> DataFrame:
     """(key, group): groups by size, then name; beyond ``most``, all but the first ``most`` - 1 are ``other``.
 
-    Ranks are taken among group names, one row for each.
+    Only the first ``most`` + 1 groups are ranked and broadcast, however many there are.
     """
     sizes = pop.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "key"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    return ranked.select("key", "n", F.when((F.col("total") > most) & (F.col("rank") > most - 1), "other").otherwise(F.col("key").cast("string")).alias("group"))
+    first = sizes.orderBy(F.desc("n"), "key").limit(most + 1)
+    ranked = first.select(F.col("key").alias("__key"), F.row_number().over(Window.orderBy(F.desc("n"), "key")).alias("__rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__held"))
+    kept = ranked.where((F.col("__held") <= most) | (F.col("__rank") <= most - 1)).withColumn("__kept", F.lit(True))
+    joined = sizes.join(F.broadcast(kept), F.col("key").eqNullSafe(F.col("__key")), "left")
+    return joined.select("key", "n", F.when(F.col("__kept"), F.col("key").cast("string")).otherwise("other").alias("group"))
+
+
+def confounded(pop: DataFrame, origin: str = "origin") -> DataFrame:
+    """One row: whether lines of agents and of people are compared, which differ in more than who wrote them."""
+    has = lambda name: F.coalesce(F.bool_or(F.col(origin) == name), F.lit(False))
+    return pop.agg((has("agent") & has("human")).alias("confounded"))
 
 
 def innermost_intervals(observed: DataFrame, *by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import GENERATED_PATH_PATTERNS, LANGUAGES, REPORT_AGES, SWEEP_THRESHOLDS
 from ..functions import text
 from ..operators import compare, correspond, grading, history, lineage, lines, report, store, survival, turnbull
-from ..sources import snapshots
+from ..sources import lifetimes, snapshots
 from ..streaming import record
 from . import domain
 from .domain import CHAIN, LINES, STORE, VERSIONS, history_sql, read
@@ -535,3 +535,173 @@ def recorded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     e = c.select(F.concat(F.lit("s"), F.col("conv_id") % 5).alias("session_id"), F.lit(None).cast("string").alias("model"), F.lit("Write").alias("tool_name"), F.concat(F.lit("src/f"), "conv_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("committed"), F.col("turn").alias("at"), F.col("turn").alias("seq"))
     return record.replay(e).groupBy("kind", "state", "layer", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+# cells and names
+
+
+@query(r"""WITH u AS (SELECT page_id, url, url || ':' || (page_id % 4) AS spot, 'q=a+b%2&&a=%41' || page_id || '&x&a=%C3%A9%zz+' || page_id AS query FROM pages)
+SELECT page_id, left(md5(url), 8) AS short, CASE WHEN page_id % 3 = 1 THEN 'page' ELSE 'pages' END AS noun, CASE WHEN length(url) <= 30 THEN url ELSE '…' || right(url, 29) END AS shown, regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') AS note,
+  CASE WHEN page_id % 4 > 0 THEN url END AS target_path, CASE WHEN page_id % 4 > 0 THEN CAST(page_id % 4 AS BIGINT) END AS target_line, 'a b%2' AS q, 'é%zz ' || page_id AS a, '' AS x, CAST(NULL AS VARCHAR) AS y FROM u""")
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short ids, nouns, cut paths, note names, targets and parameters of every page's address."""
+    n = F.col("page_id").cast("string")
+    u = read(spark, sf_dir, "pages").select("page_id", "url", text.target(F.concat("url", F.lit(":"), F.col("page_id") % 4)).alias("t"), F.concat(F.lit("q=a+b%2&&a=%41"), n, F.lit("&x&a=%C3%A9%zz+"), n).alias("query"))
+    return u.select(
+        "page_id",
+        text.short_id(F.md5(F.col("url").cast("binary"))).alias("short"),
+        text.plural(F.col("page_id") % 3, "page", "pages").alias("noun"),
+        text.truncate_left(F.col("url"), 30).alias("shown"),
+        text.note_name(F.col("url")).alias("note"),
+        F.col("t.path").alias("target_path"),
+        F.col("t.line").alias("target_line"),
+        *[text.query_value(F.col("query"), name).alias(name) for name in ("q", "a", "x", "y")],
+    )
+
+
+@query("""WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seen, (event_id * 97) % 400000 AS age, CASE WHEN event_id % 9 = 0 THEN '2023-02-30' WHEN event_id % 9 = 1 THEN '2023-2-3' ELSE strftime(ts, '%Y-%m-%d') END AS day,
+  event_id % 4000 / 7.0::DOUBLE AS days, event_id % 1000 / 1000.0::DOUBLE AS point, CASE WHEN event_id % 5 > 0 THEN event_id % 1000 / 2000.0::DOUBLE END AS low, CASE WHEN event_id % 5 > 1 THEN event_id % 1000 / 1000.0::DOUBLE + 1 END AS high FROM events),
+c AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN 'not reached' ELSE printf(CASE WHEN days < 10 THEN '%.1f days' ELSE '%.0f days' END, days) END AS middle, printf('%.1f days', days / 100) AS early, printf(CASE WHEN days * 2 < 10 THEN '%.1f days' ELSE '%.0f days' END, days * 2) AS late FROM e)
+SELECT event_id, strftime(make_timestamp(seen * 1000000), '%Y-%m-%d %H:%M UTC') AS clock, CASE WHEN event_id % 9 > 1 THEN seen - seen % 86400 END AS midnight,
+  CASE WHEN age < 90 THEN 'moments ago' WHEN age < 5400 THEN (age // 60) || ' minutes ago' WHEN age < 129600 THEN (age // 3600) || ' hours ago' ELSE (age // 86400) || ' days ago' END AS ago,
+  CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN printf('%.3f (%.3f-%.3f)', point, point, high) ELSE printf('%.3f', point) END AS survival,
+  CASE WHEN low IS NULL THEN middle WHEN high IS NULL THEN middle || ' (at least ' || early || ')' ELSE middle || ' (' || early || '-' || late || ')' END AS median FROM c""")
+def clock_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock texts, days, ages and the cells of a report for every event."""
+    k, at = F.col("event_id"), domain.seconds(F.col("ts"))
+    day = F.when(k % 9 == 0, "2023-02-30").when(k % 9 == 1, "2023-2-3").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    days, point = k % 4000 / F.lit(7.0), k % 1000 / F.lit(1000.0)
+    low = lambda c: F.when(k % 5 > 0, c)
+    high = lambda c: F.when(k % 5 > 1, c)
+    return read(spark, sf_dir, "events").select(
+        "event_id",
+        text.clock_text(at).alias("clock"),
+        text.parse_day(day).alias("midnight"),
+        text.ago(k * 97 % 400_000).alias("ago"),
+        text.survival_cell(point, low(point), high(point + 1)).alias("survival"),
+        text.median_cell(F.when(k % 6 != 0, days), low(days / 100), high(days * 2)).alias("median"),
+    )
+
+
+_TRAILERS = ("Co-authored-by: Tool One <one@agents.example>", "  CO-AUTHORED-BY: A Person <p@people.example>", ">> Generated with a tool", "co-authored-by: Two <two@AGENTS.example>\nGenerated with a tool", "Generated by hand")
+
+
+@query(f"""WITH {CHAIN}, m AS (SELECT conv_id, ord, ' ' || regexp_replace(left(text, 60), '[\r\n]', '.', 'g') || ' ' || chr(10) || chr(10) || list_extract([{', '.join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in _TRAILERS)}], CAST(ord % 5 AS INTEGER) + 1) AS message FROM c),
+l AS (SELECT *, list_transform(string_split(message, chr(10)), lambda x: trim(x)) AS held FROM m),
+v AS (SELECT *, list_filter(held, lambda x: starts_with(lower(x), 'co-authored-by:') AND ends_with(lower(x), '@agents.example>')) AS named, len(list_filter(held, lambda x: regexp_matches(lower(x), '^[^\p{{L}}\p{{N}}]*generated with'))) > 0 AS footed FROM l)
+SELECT conv_id, ord, trim(string_split(message, chr(10))[1]) AS subject, CASE WHEN len(named) > 0 THEN trim(substr(named[1], 16)) WHEN footed THEN 'a tool' END AS trailer FROM v""")
+def commit_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects and agents' trailers of messages made from every turn."""
+    c = domain.chain(spark, sf_dir)
+    ending = F.element_at(F.array(*[F.lit(x) for x in _TRAILERS]), (F.col("ord") % 5 + 1).cast("int"))
+    message = F.concat(F.lit(" "), F.regexp_replace(F.left("text", F.lit(60)), r"[\r\n]", "."), F.lit(" \n\n"), ending)
+    return c.select("conv_id", "ord", text.subject(message).alias("subject"), text.agent_trailer(message, "@agents.example>", ("generated with",), "a tool").alias("trailer"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN repeat(coalesce(text, ''), 1000) ELSE coalesce(text, '') END AS content FROM documents)
+SELECT doc_id, strlen(content) <= 1048576 AS tracked, CASE WHEN doc_id % 3 = 1 THEN md5(content) || 'abcdef01' END AS known FROM d""")
+def tracked_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents small enough to be tracked, and their ids if those are known."""
+    held = F.coalesce("text", F.lit(""))
+    content = F.when(F.col("doc_id") % 100 == 0, F.repeat(held, 1000)).otherwise(held)
+    asked = F.when(F.col("doc_id") % 3 == 0, "0" * 40).when(F.col("doc_id") % 3 == 1, F.concat(F.md5(content.cast("binary")), F.lit("abcdef01")))
+    return read(spark, sf_dir, "documents").select("doc_id", text.tracked_source(content.cast("binary")).alias("tracked"), text.known_id(asked).alias("known"))
+
+
+# what the store says of itself
+
+
+@query(f"""WITH {STORE}{SESSIONS} SELECT true AS stamped, (SELECT count(*) FROM so) AS sessions, (SELECT count(*) FROM fates WHERE observed_commit IS NULL) AS write_fates, (SELECT count(*) FROM commits WHERE committed_at % 2 = 0) AS reconciled_commits, true AS has_commits""")
+def capture_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What live capture has recorded."""
+    meta = store.stamp_capture(store.stamp_capture(spark.createDataFrame([], "key string, value string"), 5), 9)
+    c = domain.commits(spark, sf_dir).withColumn("observed_by", F.when(F.col("committed_at") % 2 == 0, "reconcile").otherwise("backfill"))
+    return store.captured(meta, _sessions(spark, sf_dir)[0], domain.fates(spark, sf_dir), c)
+
+
+@query("""WITH o AS (SELECT 'k' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT 'k' || c_custkey AS key, CAST(c_nationkey AS VARCHAR) AS value FROM customer WHERE c_custkey % 3 = 0)
+SELECT * FROM o WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n WHERE key <> 'k12'""")
+def meta_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys set over others, and one removed."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("k"), "c_custkey").alias("key"), "c_name", F.col("c_nationkey").cast("string").alias("value"))
+    old, new = c.where("c_custkey % 2 = 0").select("key", F.col("c_name").alias("value")), c.where("c_custkey % 3 = 0")
+    return store.forget(store.set_meta(old, new), spark.createDataFrame([("k12",)], "key string"), "key")
+
+
+@query(f"""WITH {STORE}, s AS (SELECT DISTINCT session_id, CAST(substr(session_id, 2) AS INTEGER) % 3 AS started_at FROM lines WHERE session_id IS NOT NULL)
+SELECT line_id, session_id FROM lines WHERE session_id = (SELECT session_id FROM s ORDER BY started_at DESC, CAST(substr(session_id, 2) AS INTEGER) DESC LIMIT 1)""")
+def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the session that began last."""
+    held = domain.lines(spark, sf_dir)
+    number = F.substring("session_id", 2, 9).cast("int")
+    sessions = held.where("session_id is not null").select("session_id", (number % 3).alias("started_at"), number.alias("seq")).distinct()
+    return store.session_lines(sessions, held).select("line_id", "session_id")
+
+
+@query(f"WITH {STORE} SELECT state, count(*) AS n FROM fates GROUP BY 1 UNION ALL SELECT 'born', count(*) FROM lines")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a reconciliation."""
+    return store.delta_counts(domain.lines(spark, sf_dir), domain.fates(spark, sf_dir))
+
+
+@query(f"""WITH {STORE}, n AS (SELECT md5(CAST(user_id AS VARCHAR)) AS h, min(CASE WHEN user_id % 3 = 0 THEN 'a/' ELSE 'b/' END || user_id) AS path FROM events WHERE user_id % 3 = 0 OR user_id % 4 = 0 GROUP BY 1)
+SELECT line_id, coalesce(path, 'a file no longer present (path hash ' || file_path_hash || ')') AS name FROM lines LEFT JOIN n ON h = file_path_hash""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files from the tree, else from history, else none."""
+    user = read(spark, sf_dir, "events").select("user_id", F.md5(F.col("user_id").cast("string").cast("binary")).alias("file_path_hash")).distinct()
+    tree = user.where("user_id % 3 = 0").withColumn("path", F.concat(F.lit("a/"), "user_id"))
+    past = user.where("user_id % 4 = 0").withColumn("path", F.concat(F.lit("b/"), "user_id"))
+    return store.named(domain.lines(spark, sf_dir), tree, past).select("line_id", "name")
+
+
+@query("""SELECT DISTINCT o_custkey AS k, 'missing' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0) UNION ALL SELECT c_custkey, 'unknown' FROM customer WHERE c_custkey % 4 > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def unmatched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that only one of two lists has."""
+    return store.unmatched(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), read(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query(f"WITH {STORE} SELECT line_id FROM lines WHERE line_id NOT IN (SELECT line_id FROM fates WHERE state = 'moved') AND line_id NOT IN (SELECT line_id FROM fates WHERE state = 'dead')")
+def unaccounted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are neither carried forward nor dead."""
+    f = domain.fates(spark, sf_dir)
+    return store.unaccounted(domain.lines(spark, sf_dir), f.where("state = 'moved'"), f.where("state = 'dead'"), "line_id")
+
+
+@query(f"WITH {STORE} SELECT line_id FROM lines WHERE birth_commit IS NOT NULL AND CAST(substr(birth_commit, 2) AS INTEGER) > 24")
+def resumed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the commits that a backfill still has to record."""
+    held = domain.lines(spark, sf_dir).where("birth_commit is not null")
+    commits = held.select(F.col("birth_commit").alias("sha"), F.substring("birth_commit", 2, 9).cast("int").alias("ord")).distinct()
+    left = history.resumed(commits, commits.where("ord in (3, 24)"))
+    return held.join(left, F.col("birth_commit") == F.col("sha"), "left_semi").select("line_id")
+
+
+@query(f"WITH {history_sql()} SELECT bool_or(entry_origin = 'agent') AND bool_or(entry_origin = 'human') AS confounded FROM pop")
+def confounded_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a report by origin compares agents with people."""
+    return survival.confounded(survival.population(_held(spark, sf_dir)), "entry_origin")
+
+
+@query("""SELECT 'customer' AS "table", count(*) AS n, count(DISTINCT c_custkey) AS keys FROM customer UNION ALL SELECT 'nation', count(*), count(DISTINCT n_nationkey) FROM nation""")
+def table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table as JSON, counted by what they say."""
+    rows = store.audit({name: read(spark, sf_dir, name) for name in ("nation", "customer")})
+    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.get_json_object("row", "$.c_custkey"), F.get_json_object("row", "$.n_nationkey"))).alias("keys"))
+
+
+@query("""SELECT event_id % 50 / 4.0::DOUBLE AS "left", CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE event_id % 50 / 4.0::DOUBLE + 1 END AS "right", count(*) AS n FROM events GROUP BY 1, 2""")
+def lifetime_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifetimes read from lines of text, with blank ones between."""
+    left = F.col("event_id") % 50 / F.lit(4.0)
+    line = F.concat(F.lit(" "), left.cast("string"), F.lit("\t "), F.when(F.col("event_id") % 3 == 0, "inf").otherwise((left + 1).cast("string")))
+    lines_ = read(spark, sf_dir, "events").select(F.explode(F.array(line, F.lit(" "))).alias("value"))
+    found = lifetimes.parse(lines_)
+    return found.groupBy("left", F.when(F.col("right") == float("inf"), -1.0).otherwise(F.col("right")).alias("right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH b AS (SELECT l_orderkey % 7 AS ord, 'f' || (l_partkey % 11) AS path, l_orderkey, l_linenumber FROM lineitem)
+SELECT l_orderkey, l_linenumber, 100 + row_number() OVER (ORDER BY ord, path, l_orderkey, l_linenumber) AS line_id FROM b""")
+def birth_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of lines in the order of their birth."""
+    b = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 7).alias("ord"), F.concat(F.lit("f"), F.col("l_partkey") % 11).alias("path"), "l_orderkey", "l_linenumber", F.struct("l_orderkey", "l_linenumber").alias("line"))
+    return store.numbered(b, 100).select("l_orderkey", "l_linenumber", "line_id")
