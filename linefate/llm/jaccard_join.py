@@ -520,18 +520,28 @@ def join(docs: DataFrame, *, ngram: int = NGRAM, percent: int = PERCENT, text: s
     release(spark)
     postings = stars.where("kind = 1").select("gram", "node", "n", F.col("count").alias("pos"))
 
-    def meeting(links: DataFrame, name: str) -> DataFrame:
-        """The postings of shingles that nodes of several components hold."""
-        placed = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = folder.write(f"{name}-placed", placed)
+    def meeting(held: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The postings of shingles that nodes of several components hold. Others stop where they are read, but for a few."""
+        placed = held.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = folder.write(f"{name}-placed", placed.select("gram", "node", "n", "pos", "label"))
         several = placed.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("gram", "size")
-        return placed.join(several, "gram")
+        several = folder.write(f"{name}-several", several)
+        bits = Bits.write(several.select("gram"), folder, f"{name}-several")
 
-    links = links.unionByName(_verified(folder, "beside", _neighbours(meeting(links, "beside"), percent), docs, own, classes, ngram, percent))
-    folder.drop("beside-placed")
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(Bits.has(bits, batch.column(0).to_numpy())))
+
+        mixed = folder.write(f"{name}-mixed", placed.mapInArrow(some, placed.schema).join(several, "gram"))
+        folder.drop(f"{name}-placed", f"{name}-several")
+        return mixed
+
+    mixed = meeting(postings, links, "beside")
+    links = links.unionByName(_verified(folder, "beside", _neighbours(mixed, percent), docs, own, classes, ngram, percent))
     release(spark)
-    more = _verified(folder, "far", _crossing(meeting(links, "far"), percent), docs, own, classes, ngram, percent)
-    folder.drop("far-placed", "stars")
+    # further links only join components: what met in one before meets in one still
+    more = _verified(folder, "far", _crossing(meeting(mixed.select("gram", "node", "n", "pos"), links, "far"), percent), docs, own, classes, ngram, percent)
+    folder.drop("beside-mixed", "far-mixed", "stars")
     release(spark)
     final = components(links.unionByName(more))
     rooted = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
