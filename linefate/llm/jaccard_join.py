@@ -247,7 +247,10 @@ def _stars(postings: DataFrame) -> DataFrame:
                 if len(values[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values[0]), kind, dtype=np.int32)), *[pa.array(np.asarray(v).astype(np.int64)) for v in values]], names=["kind", "node", "other", "n", "count", "gram", "salt"])
 
-    dealt = postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
+    # most postings stand alone, so their bytes are what the join shuffles: what is mostly zero stands together
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")
+    packed = postings.select("salt", "split", "gram", "node", place).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "node")
+    dealt = packed.select("gram", "salt", "node", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos"), "split")
     return dealt.mapInArrow(run, "kind int, node long, other long, n long, count long, gram long, salt long")
 
 
