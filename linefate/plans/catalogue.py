@@ -588,7 +588,7 @@ _TRAILERS = ("Co-authored-by: Tool One <one@agents.example>", "  CO-AUTHORED-BY:
 
 @query(f"""WITH {CHAIN}, m AS (SELECT conv_id, ord, ' ' || regexp_replace(left(text, 60), '[\r\n]', '.', 'g') || ' ' || chr(10) || chr(10) || list_extract([{', '.join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in _TRAILERS)}], CAST(ord % 5 AS INTEGER) + 1) AS message FROM c),
 l AS (SELECT *, list_transform(string_split(message, chr(10)), lambda x: trim(x)) AS held FROM m),
-v AS (SELECT *, list_filter(held, lambda x: starts_with(lower(x), 'co-authored-by:') AND ends_with(lower(x), '@agents.example>')) AS named, len(list_filter(held, lambda x: regexp_matches(lower(x), '^[^\p{{L}}\p{{N}}]*generated with'))) > 0 AS footed FROM l)
+v AS (SELECT *, list_filter(held, lambda x: starts_with(lower(x), 'co-authored-by:') AND ends_with(lower(x), '@agents.example>')) AS named, len(list_filter(held, lambda x: regexp_matches(lower(x), '^[^\\p{{L}}\\p{{N}}]*generated with'))) > 0 AS footed FROM l)
 SELECT conv_id, ord, trim(string_split(message, chr(10))[1]) AS subject, CASE WHEN len(named) > 0 THEN trim(substr(named[1], 16)) WHEN footed THEN 'a tool' END AS trailer FROM v""")
 def commit_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects and agents' trailers of messages made from every turn."""
