@@ -18,7 +18,12 @@ from . import survival
 
 TOLERANCE = 1e-12
 MAX_ITERATIONS = 100_000
+#: Iterations before a fit turns to Newton steps, the most of these, and how near to 1 the gains should and must come.
+HEAD, MAX_NEWTON, NEWTON_TOLERANCE, NEWTON_ENOUGH = 200, 100, 1e-11, 1e-9
+#: Intervals that come into play in one step, and the most in play; a fit that needs more goes on without Newton steps.
+AT_ONCE, MOST_IN_PLAY = 300, 4000
 MASK = (1 << 64) - 1
+DRAWN_AT_ONCE = 1 << 22
 
 
 class Estimate:
@@ -42,7 +47,11 @@ class Estimate:
     def quantile(self, level: float) -> float | None:
         """The first time at which survival falls to ``level``, or None."""
         before: tuple[float, float] | None = None
-        for t in self.corners():
+        corners = self.corners()
+        beyond = np.concatenate((np.cumsum(self.mass[::-1])[::-1], [0.0]))[np.searchsorted(self.end, corners, side="right")]
+        # only the corners round the crossing are looked at one by one; sums in another order differ by less than the margin
+        near = int(np.argmax(np.append(beyond <= level + 1e-9, True)))
+        for t in corners[max(near - 1, 0) :]:
             s = self.survival(t)
             if s <= level:
                 if before and before[1] > s:
@@ -67,28 +76,146 @@ def intervals(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value[at], value[at + 1]
 
 
+class Lifetimes:
+    """Weighted lifetimes as runs of the innermost intervals they contain, equal runs once."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.m, self.total = len(start), weight.sum()
+        runs = np.searchsorted(start, left, side="left") * (self.m + 1) + np.searchsorted(end, right, side="right")
+        runs, which = np.unique(runs, return_inverse=True)
+        self.weight = np.bincount(which.ravel(), weights=weight)
+        self.first, self.after = runs // (self.m + 1), runs % (self.m + 1)
+
+    def covered(self, mass: np.ndarray) -> np.ndarray:
+        prefix = np.concatenate(([0.0], np.cumsum(mass)))
+        return prefix[self.after] - prefix[self.first]
+
+    def gain(self, covered: np.ndarray) -> np.ndarray:
+        """By what an iteration multiplies each mass: 1 where there is mass at the maximum, at most 1 elsewhere."""
+        ok = covered > 0
+        share = np.divide(self.weight, covered, out=np.zeros_like(covered), where=ok)
+        spread = np.bincount(self.first, weights=share, minlength=self.m + 1) - np.bincount(self.after, weights=share, minlength=self.m + 1)
+        return np.cumsum(spread)[: self.m] / self.total
+
+    def curvature(self, covered: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Negative second derivatives of the log-likelihood by the masses of the intervals ``at``."""
+        s = len(at)
+        first, after = np.searchsorted(at, self.first), np.searchsorted(at, self.after)
+        held = np.bincount(first * (s + 1) + after, weights=self.weight / covered**2, minlength=(s + 1) ** 2).reshape(s + 1, s + 1)
+        upper = np.triu(held.cumsum(axis=0)[:, ::-1].cumsum(axis=1)[:, ::-1][:s, 1:])
+        return upper + np.triu(upper, 1).T
+
+
+def least(h: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The x of no negative part where x'hx / 2 - b'x is least, by block pivoting from the free parts of ``x``."""
+    free, fewest, patience, slack = x > 0, len(b) + 1, 3, 1e-10 * np.abs(b).max()
+    for _ in range(10 * len(b) + 10):
+        x, at = np.zeros(len(b)), np.flatnonzero(free)
+        x[at] = np.linalg.solve(h[np.ix_(at, at)], b[at])
+        wrong = np.where(free, x < 0, h @ x - b < -slack)
+        n = int(wrong.sum())
+        if not n:
+            break
+        if n < fewest:
+            fewest, patience = n, 3
+        else:
+            patience -= 1
+        if patience < 0:  # one at a time can't go round in circles
+            wrong[: np.flatnonzero(wrong)[-1]] = False
+        free = free ^ wrong
+    return np.maximum(x, 0.0)
+
+
+def seeds(lives: Lifetimes, mass: np.ndarray) -> np.ndarray:
+    """``mass`` gathered on its highest peaks, and on one interval of each lifetime that holds none of these."""
+    rises = np.concatenate(([True], mass[1:] > mass[:-1]))
+    hill = np.cumsum(rises & np.concatenate(([True], ~rises[:-1])))
+    order = np.lexsort((-mass, hill))
+    peaks = order[np.concatenate(([True], hill[order][1:] != hill[order][:-1]))]
+    held = np.bincount(hill - 1, weights=mass)
+    high = np.argsort(-held, kind="stable")[:AT_ONCE]
+    out, some = np.zeros(lives.m), 0.1 * lives.weight / lives.total  # less would be lost in the sums of others
+    out[peaks[high]] = np.maximum(held[high], some.min())
+    bare = np.flatnonzero(lives.covered((out > 0).astype(float)) == 0)
+    last = -1
+    for i in bare[np.argsort(lives.after[bare], kind="stable")]:
+        if last < lives.first[i]:
+            last = lives.first[i] + int(np.argmax(mass[lives.first[i] : lives.after[i]]))
+            out[last] = max(mass[last], some[i])
+    return out
+
+
+def maximum(lives: Lifetimes, mass: np.ndarray) -> np.ndarray | None:
+    """The masses of greatest likelihood, by Newton steps on the intervals in play; None if they aren't found.
+
+    In play are the intervals with mass and, of those between two of them, the one of greatest gain above 1. There is one
+    such point only: a lifetime ends at the end of each interval, so no two distributions cover all lifetimes alike.
+    """
+    n, mass = lives.total, seeds(lives, mass)
+    covered = lives.covered(mass)
+    if not (covered > 0).all():
+        return None
+    value = lambda mass, covered: float((lives.weight * np.log(covered)).sum()) - n * float(mass.sum())
+    now = value(mass, covered)
+    for _ in range(MAX_NEWTON):
+        gain, has = lives.gain(covered), np.flatnonzero(mass > 0)
+        off = max(float(gain.max()) - 1.0, float(np.abs(gain[has] - 1.0).max()))
+        if off <= NEWTON_TOLERANCE:
+            break
+        order = np.lexsort((-gain, np.searchsorted(has, np.arange(lives.m), side="right")))
+        between = np.searchsorted(has, order, side="right")
+        best = order[np.concatenate(([True], between[1:] != between[:-1]))]
+        best = best[gain[best] > 1.0]
+        at = np.union1d(has, best[np.argsort(-gain[best], kind="stable")[:AT_ONCE]])
+        if len(at) > MOST_IN_PLAY:
+            return None
+        h = lives.curvature(covered, at)
+        ridge = 1e-12 * np.diag(h)
+        try:
+            to = least(h + np.diag(ridge), n * (2.0 * gain[at] - 1.0) + ridge * mass[at], mass[at])
+        except np.linalg.LinAlgError:
+            return None
+        step = -mass
+        step[at] += to
+        slope, part = n * float(((gain - 1.0) * step).sum()), 1.0
+        while part > 1e-10:
+            tried = np.maximum(mass + part * step, 0.0)
+            reached = lives.covered(tried)
+            if (reached > 0).all() and (then := value(tried, reached)) >= now + 0.1 * part * slope - 1e-13 * abs(now):
+                break
+            part /= 2.0
+        else:
+            break
+        mass, covered, now = tried, reached, then
+    gain = lives.gain(covered)
+    if max(float(gain.max()) - 1.0, float(np.abs(gain[mass > 0] - 1.0).max())) > NEWTON_ENOUGH:
+        return None
+    return mass / mass.sum()
+
+
 def fit(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> Estimate:
-    """Self-consistency iterations until the log-likelihood no longer rises. Lifetimes of no weight don't count."""
+    """Self-consistency iterations until the log-likelihood no longer rises. Lifetimes of no weight don't count.
+
+    A fit that takes longer than ``HEAD`` iterations goes on from the maximum these would come to; the same rule ends it.
+    """
     use = weight > 0
     left, right, weight = left[use], right[use], weight[use]
     start, end = intervals(left, right)
     m = len(start)
     if not m:
         return Estimate(start, end, np.empty(0))
-    first = np.searchsorted(start, left, side="left")
-    after = np.searchsorted(end, right, side="right")
-    mass, total, before = np.full(m, 1.0 / m), weight.sum(), -np.inf
+    lives = Lifetimes(left, right, weight, start, end)
+    mass, before = np.full(m, 1.0 / m), -np.inf
     for step in range(1, MAX_ITERATIONS + 1):
-        prefix = np.concatenate(([0.0], np.cumsum(mass)))
-        covered = prefix[after] - prefix[first]
+        if step == HEAD and (found := maximum(lives, mass)) is not None:
+            mass, before = found, -np.inf
+        covered = lives.covered(mass)
         ok = covered > 0
-        likelihood = float((weight[ok] * np.log(covered[ok])).sum())
+        likelihood = float((lives.weight[ok] * np.log(covered[ok])).sum())
         if likelihood - before <= TOLERANCE * max(abs(likelihood), 1.0):
             return Estimate(start, end, mass, step, True)
         before = likelihood
-        share = weight[ok] / covered[ok]
-        spread = np.bincount(first[ok], weights=share, minlength=m + 1) - np.bincount(after[ok], weights=share, minlength=m + 1)
-        mass = mass * np.cumsum(spread)[:m] / total
+        mass = mass * lives.gain(covered)
     return Estimate(start, end, mass, MAX_ITERATIONS, False)
 
 
@@ -140,34 +267,58 @@ def stream(seed: int) -> Iterator[int]:
 
 def draws(seed: int, replicate: int, n: int) -> np.ndarray:
     """How often each of n clusters is drawn in one replicate of n draws."""
-    source = stream(seed ^ ((replicate * 0xD1B54A32D192ED03) & MASK))
-    return np.bincount([(next(source) * n) >> 64 for _ in range(n)], minlength=n)
+    state = (seed ^ (replicate * 0xD1B54A32D192ED03)) & MASK
+    times, size = np.zeros(n, dtype=np.int64), np.uint64(n)
+    for at in range(0, n, DRAWN_AT_ONCE):
+        # the numbers of stream() from here on, by their place
+        z = np.arange(at + 1, min(at + DRAWN_AT_ONCE, n) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(state)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+        # z * n >> 64 in two halves, as n is below 2 ** 32
+        low = (z & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)
+        times += np.bincount((((z >> np.uint64(32)) * size + low) >> np.uint64(32)).astype(np.int64), minlength=n)
+    return times
 
 
 def replicates(observed: DataFrame, by: str, cluster: str, order: str, statistics: Callable[[Estimate], list[float | None]], width: int, n_replicates: int, seed: int, chunk: int = 16) -> DataFrame:
     """(by, replicate, k, value): each statistic of each refit. Clusters are numbered by first appearance in ``order``.
 
-    A group's lifetimes are grouped by cluster first; a task takes ``chunk`` replicates of one group.
+    A group's lifetimes are grouped by cluster and packed into one row first; a task takes ``chunk`` replicates of one group.
     """
-    schema = observed.select(by).schema.add("replicate", "integer").add("k", "integer").add("value", "double")
     weighted = observed.groupBy(by, cluster, "left", "right").agg(F.count(F.lit(1)).alias("weight"), F.min(order).alias("first"))
-    dealt = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_replicates - 1) // chunk))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lead = pdf.groupby(cluster)["first"].min().sort_values()
-        number = pdf[cluster].map({c: i for i, c in enumerate(lead.index)}).to_numpy()
-        left, right, weight = pdf["left"].to_numpy(float), pdf["right"].to_numpy(float), pdf["weight"].to_numpy(float)
-        pairs, inverse = np.unique(np.stack((left, right)), axis=1, return_inverse=True)
-        rows, at = [], int(pdf["part"].iloc[0]) * chunk
-        for replicate in range(at, min(at + chunk, n_replicates)):
-            times = draws(seed, replicate, len(lead))
-            total = np.bincount(inverse.ravel(), weights=weight * times[number], minlength=pairs.shape[1])
-            rows += [(replicate, k, v) for k, v in enumerate(statistics(fit(pairs[0], pairs[1], total)))]
-        out = pd.DataFrame(rows, columns=["replicate", "k", "value"])
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
-
-    return dealt.groupBy(by, "part").applyInPandas(run, schema)
+    parts = (n_replicates - 1) // chunk + 1
+    packed = observed.select(by).schema
+    for name in ("pairs", "number", "pair", "weight"):
+        packed = packed.add(name, "binary")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(pdf[cluster], use_na_sentinel=False, sort=True)
+        lead = pdf["first"].groupby(codes).min().sort_values(kind="stable")
+        number = np.empty(len(names), dtype=np.int32)
+        number[lead.index] = np.arange(len(names))
+        left, right = pdf["left"].to_numpy(float), pdf["right"].to_numpy(float)
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        row = {by: pdf[by].iloc[0], "pairs": np.stack((left[new], right[new])).tobytes(), "number": number[codes][order].tobytes(), "pair": (np.cumsum(new) - 1).astype(np.int32).tobytes(), "weight": pdf["weight"].to_numpy(float)[order].tobytes(), "clusters": len(names)}
+        return pd.DataFrame([row])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                left, right = np.frombuffer(row["pairs"]).reshape(2, -1)
+                number, pair, weight = np.frombuffer(row["number"], np.int32), np.frombuffer(row["pair"], np.int32), np.frombuffer(row["weight"])
+                rows, at = [], row["part"] * chunk
+                for replicate in range(at, min(at + chunk, n_replicates)):
+                    times = draws(seed, replicate, row["clusters"])
+                    total = np.bincount(pair, weights=weight * times[number], minlength=len(left))
+                    rows += [(row[by], replicate, k, v) for k, v in enumerate(statistics(fit(left, right, total)))]
+                yield pd.DataFrame(rows, columns=[by, "replicate", "k", "value"])
+
+    groups = weighted.groupBy(by).applyInPandas(pack, packed.add("clusters", "long"))
+    dealt = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts)
+    return dealt.mapInPandas(run, observed.select(by).schema.add("replicate", "integer").add("k", "integer").add("value", "double"))
 
 
 def bands(found: DataFrame, by: str, n_replicates: int, level: float = LEVEL) -> DataFrame:

@@ -43,6 +43,48 @@ def test_reproducible_draws():
     assert turnbull.draws(7, 3, 50).sum() == 50 and (turnbull.draws(7, 3, 50) == turnbull.draws(7, 3, 50)).all()
 
 
+def test_long_fits_reach_the_maximum():
+    rng = np.random.default_rng(4)
+    left = rng.exponential(3, 4000).round(2)
+    right = np.where(rng.random(4000) < 0.3, INF, left + rng.exponential(2, 4000).round(2) + 0.01)
+    weight = rng.integers(0, 3, 4000).astype(float)
+    e = turnbull.fit(left, right, weight)
+    assert e.converged and e.iterations < 1000 and np.isclose(e.mass.sum(), 1)
+    left, right, weight = (x[weight > 0] for x in (left, right, weight))
+    inside = (e.start >= left[:, None]) & (e.end <= right[:, None])
+    slope = (inside * (weight / (inside @ e.mass))[:, None]).sum(axis=0) / weight.sum()
+    assert slope.max() < 1 + 1e-8 and np.allclose(slope[e.mass > 0], 1, atol=1e-8), "no mass can be moved to raise the likelihood"
+
+
+def test_long_fits_agree_with_plain_iterations(monkeypatch):
+    rng = np.random.default_rng(6)
+    left = rng.integers(0, 60, 300).astype(float)
+    right = np.where(rng.random(300) < 0.3, INF, left + rng.integers(1, 40, 300))
+    fast = turnbull.fit(left, right, np.ones(300))
+    monkeypatch.setattr(turnbull, "maximum", lambda lives, mass: None)
+    slow = turnbull.fit(left, right, np.ones(300))
+    assert fast.iterations < slow.iterations and np.allclose([fast.survival(t) for t in range(60)], [slow.survival(t) for t in range(60)], atol=1e-4)
+
+
+@pytest.mark.parametrize("seed, replicate, n", [(1, 0, 1), (7, 3, 50), (2**64 + 5, 199, 1000)])
+def test_draws_follow_the_stream(monkeypatch, seed, replicate, n):
+    monkeypatch.setattr(turnbull, "DRAWN_AT_ONCE", 64)
+    numbers = turnbull.stream(seed ^ (replicate * 0xD1B54A32D192ED03 & turnbull.MASK))
+    want = [0] * n
+    for _ in range(n):
+        want[next(numbers) * n >> 64] += 1
+    assert turnbull.draws(seed, replicate, n).tolist() == want
+
+
+def test_replicates_are_spread_over_tasks(spark):
+    rows = [(k, k // 3, "ab"[k % 2], float(k % 5), float(k % 5 + 1)) for k in range(60)]
+    df = spark.createDataFrame(rows, "line_id long, cluster long, g string, left double, right double")
+    found = turnbull.replicates(df, "g", "cluster", "line_id", lambda e: [e.survival(2.5), e.median()], 2, 64, 1, chunk=8)
+    tasks = found.select("g", "replicate", "k", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.g, r.replicate, r.k) for r in tasks) == [(g, r, k) for g in "ab" for r in range(64) for k in range(2)]
+    assert len({r.task for r in tasks}) > 4
+
+
 def test_clusters_widen_bands(spark):
     rows = [(c * 20 + k, c, "g", float(c % 5), float(c % 5 + 1)) for c in range(10) for k in range(20)]
     df = spark.createDataFrame(rows, "line_id long, cluster long, g string, left double, right double")
