@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +28,28 @@ def histories(lines: DataFrame, fates: DataFrame, threshold: float | None = None
     early: a fate after entry lies long before it; dead: any fate is dead; revised_on_entry; death: the first fate in seq
     order after entry that counts as death, dead or, with a threshold, of a birth similarity below it.
     """
+    return _histories(lines, fates, {"death": threshold})
+
+
+def swept(lines: DataFrame, fates: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``histories`` under each of ``thresholds``, a row of a line for each, with its threshold; all in one pass over the fates."""
+    names = {f"__death{k}": t for k, t in enumerate(thresholds)}
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(name).alias("death")) for name, t in names.items()])
+    return _histories(lines, fates, names).withColumn("__each", F.explode(each)).select("*", "__each.*").drop("__each", *names)
+
+
+def _histories(lines: DataFrame, fates: DataFrame, thresholds: dict[str, float | None]) -> DataFrame:
+    """``histories`` with a column of deaths for each name of ``thresholds``."""
     keys = lines.select("line_id", "birth_commit", "entered_at")
     held = fates.join(keys, "line_id")
     counts = after_entry(F.col("observed_commit"), F.col("birth_commit"), F.col("before_first_commit"))
-    dies = F.col("state") == "dead"
-    if threshold is not None:
-        dies = dies | F.coalesce(F.col("birth_similarity") < threshold, F.lit(False))
+    dead = F.col("state") == "dead"
+    dies = lambda t: dead if t is None else dead | F.coalesce(F.col("birth_similarity") < t, F.lit(False))
     found = held.groupBy("line_id").agg(
         F.bool_or(counts & (F.col("observed_at") < F.col("entered_at") - CLOCK_TOLERANCE)).alias("early"),
-        F.bool_or(F.col("state") == "dead").alias("dead"),
+        F.bool_or(dead).alias("dead"),
         F.bool_or((F.col("state") == "edited") & F.coalesce(F.col("observed_commit") == F.col("birth_commit"), F.lit(False))).alias("revised_on_entry"),
-        F.min_by(F.struct("previous_seen_at", "observed_at"), F.when(counts & dies, F.col("seq"))).alias("death"),
+        *[F.min_by(F.struct("previous_seen_at", "observed_at"), F.when(counts & dies(t), F.col("seq"))).alias(name) for name, t in thresholds.items()],
     )
     return lines.join(found, "line_id", "left").fillna(False, ["early", "dead", "revised_on_entry"])
 

@@ -224,22 +224,24 @@ def _columns(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pdf["left"].to_numpy(float), pdf["right"].to_numpy(float), pdf["weight"].to_numpy(float)
 
 
-def estimates(observed: DataFrame, by: str) -> DataFrame:
+def estimates(observed: DataFrame, *by: str) -> DataFrame:
     """(by, start, end, mass) of each group of lifetimes."""
-    schema = observed.select(by).schema.add("start", "double").add("end", "double").add("mass", "double")
+    schema = observed.select(*by).schema.add("start", "double").add("end", "double").add("mass", "double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = fit(*_columns(pdf))
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(e.mass), "start": e.start, "end": e.end, "mass": e.mass})
+        return pd.DataFrame({b: [pdf[b].iloc[0]] * len(e.mass) for b in by} | {"start": e.start, "end": e.end, "mass": e.mass})
 
-    return survival.grouped(observed, by).groupBy(by).applyInPandas(run, schema)
+    # groups are small in bytes and long to fit: by a number of its own the shuffle is not put together into one task
+    tasks = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return survival.grouped(observed, *by).repartition(tasks, *by).groupBy(*by).applyInPandas(run, schema)
 
 
-def survival_at(masses: DataFrame, ages: Sequence[float], by: str) -> DataFrame:
+def survival_at(masses: DataFrame, ages: Sequence[float], *by: str) -> DataFrame:
     """(by, age, survival) at a short list of ages, from (by, start, end, mass)."""
     held = masses.withColumn("age", F.explode(F.array(*[F.lit(float(a)) for a in ages])))
     beyond = F.when((F.col("end") == float("inf")) | (F.col("age") <= F.col("start")), 1.0).when(F.col("age") >= F.col("end"), 0.0).otherwise((F.col("end") - F.col("age")) / (F.col("end") - F.col("start")))
-    return held.groupBy(by, "age").agg(F.least(F.greatest(F.sum(F.col("mass") * beyond), F.lit(0.0)), F.lit(1.0)).alias("survival"))
+    return held.groupBy(*by, "age").agg(F.least(F.greatest(F.sum(F.col("mass") * beyond), F.lit(0.0)), F.lit(1.0)).alias("survival"))
 
 
 def medians(observed: DataFrame, by: str) -> DataFrame:

@@ -450,11 +450,9 @@ def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for threshold in SWEEP_THRESHOLDS:
-        one = turnbull.survival_at(turnbull.estimates(_observed(spark, sf_dir, threshold), "entry_origin"), [7.0], "entry_origin").withColumn("threshold", F.lit(threshold))
-        out = one if out is None else out.unionByName(one)
-    return out
+    held = survival.swept(survival.with_entry(domain.lines(spark, sf_dir), domain.commits(spark, sf_dir)), domain.fates(spark, sf_dir), SWEEP_THRESHOLDS)
+    masses = turnbull.estimates(survival.lifetimes(survival.population(held)), "threshold", "entry_origin")
+    return turnbull.survival_at(masses, [7.0], "threshold", "entry_origin").select("entry_origin", "age", "survival", "threshold")
 
 
 @query(f"""WITH {STORE}, a AS (SELECT line_id, bool_or(state = 'edited') AS edited, bool_or(state = 'dead') AS deleted FROM fates GROUP BY 1)

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from linefate.operators import store, turnbull
+from linefate.operators import store, survival, turnbull
 from linefate.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -143,6 +143,32 @@ def test_bootstrap_bands_query_is_whole(spark, monkeypatch):
     assert drawn == [200] and {r.k for r in rows} == {0, 1, 2, 3, 4}, "200 resamples, four ages and the median"
 
 
+def test_threshold_sweep_reads_the_history_once(spark):
+    sf = "/root/testdata/sf0.001"
+    sweep = catalogue.threshold_sweep(spark, sf)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(sweep) == scans(catalogue.turnbull_interval(spark, sf)) > 0
+    got = {(r.threshold, r.entry_origin): r.survival for r in sweep.collect()}
+    want = {}
+    for threshold in catalogue.SWEEP_THRESHOLDS:
+        one = turnbull.survival_at(turnbull.estimates(catalogue._observed(spark, sf, threshold), "entry_origin"), [7.0], "entry_origin")
+        want |= {(threshold, r.entry_origin): r.survival for r in one.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_swept_histories_equal_those_of_each_threshold(spark):
+    lines = spark.createDataFrame([(1, "a", 100), (2, "a", 100), (3, None, 100)], "line_id long, birth_commit string, entered_at long")
+    fates = [(1, 1, "edited", 0.2, 110, None), (2, 1, "edited", 0.6, 120, 110), (3, 1, "dead", None, 130, 120), (4, 2, "edited", 0.45, 140, 100), (5, 2, "edited", None, 150, 140)]
+    fates = spark.createDataFrame([(*f, "b", False) for f in fates], "seq long, line_id long, state string, birth_similarity double, observed_at long, previous_seen_at long, observed_commit string, before_first_commit boolean")
+    levels = [0.1, 0.3, 0.5, 0.7]
+    got = survival.swept(lines, fates, levels)
+    for level in levels:
+        one = survival.histories(lines, fates, level)
+        assert sorted(got.where(F.col("threshold") == level).select(*one.columns).collect(), key=repr) == sorted(one.collect(), key=repr)
+    assert got.where("line_id = 1").orderBy("threshold").select("death.observed_at").toPandas()["observed_at"].tolist() == [130, 110, 110, 110]
+    assert got.count() == 12 and got.where("line_id = 3 AND death IS NULL").count() == 4
+
+
 def test_deleted_added_pairs_every_version(spark):
     sf = "/root/testdata/sf0.001"
     turns = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
