@@ -356,3 +356,21 @@ def test_pipeline(spark, odd, nothing, tmp_path):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     rows = corpus_pipeline.run(spark, small).collect()
     assert 0.8 * n < len(rows) < n and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_texts_that_stay_are_not_moved(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(30)]  # copies
+    rows += [(7, texts[7]), (8, texts[599]), (None, "no id, but words"), (None, texts[3]), (2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, plain = [], corpus_pipeline.by_bits
+    monkeypatch.setattr(corpus_pipeline, "by_bits", lambda docs, bits, member: met.append((member, found := plain(docs, bits, member))) or found)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    decided = {(name, least) for name, _, least in joined_by_hand(rows)}
+    kept = {name for name, least in decided if name == least}
+    assert sorted(map(str, got)) == sorted(map(str, docs.where(docs.doc_id.isNull() | docs.doc_id.cast("string").isin(list(kept))).distinct().collect()))
+    moved = sum(found.count() for member, found in met if member)
+    assert 30 <= moved <= 0.2 * len(rows) and sum(found.count() for _, found in met) == len(rows)
