@@ -183,9 +183,9 @@ def crc32(data: bytes) -> int:
 class PairMap:
     """Open-addressing table from two non-negative numbers below 2**31 to a third."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, a: np.ndarray, b: np.ndarray, values: np.ndarray, room: int = 4) -> None:
         keys = (a.astype(np.int64) << 32) | b.astype(np.int64)
-        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.bits = max(10, int(room * len(keys)).bit_length())
         mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.full(1 << self.bits, -1, dtype=np.int64)

@@ -374,3 +374,23 @@ def test_texts_that_stay_are_not_moved(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, docs.where(docs.doc_id.isNull() | docs.doc_id.cast("string").isin(list(kept))).distinct().collect()))
     moved = sum(found.count() for member, found in met if member)
     assert 30 <= moved <= 0.2 * len(rows) and sum(found.count() for _, found in met) == len(rows)
+
+
+def test_runs_side_by_side_parse_as_each_alone():
+    rng = random.Random(6)
+    letters = "abcdeéß你好ΣİǅE½1'-_٣"
+    word = lambda most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    automata = language_id.learn({name: [" ".join(word(7) for _ in range(300))] for name in ("x", "y", "z")}) | {"none": {}}
+    texts = ["".join(word(12) + rng.choice(" \n\t ") for _ in range(rng.choice([0, 1, 40]))) for _ in range(200)]
+    texts += [word(400) for _ in range(20)] + ["", "½ 1", "ab" * 3000, "𐐀a𐐁 Ж", "ΑΣ ΑΣ. İ"]
+    want = []
+    for text in texts:
+        runs = [run for piece in text.split() for run in language_id.LETTERS.findall(piece.lower())]
+        want.append([sum(language_id.phrases(run, automata[name]) for run in runs) for name in sorted(automata)] + [sum(len(run) + 2 for run in runs)])
+    for kept in (10, 10**6):
+        parser = language_id.CrossParser(automata, kept)
+        got = [row for i in range(0, len(texts), 30) for row in parser.counts(texts[i : i + 30]).tolist()]
+        assert got == want and parser.counts(texts).tolist() == want
+        assert all(len(piece) <= language_id.KEPT_LENGTH for piece in parser.known)
+    none = language_id.CrossParser({})
+    assert none.predictions(["a b", ""]) == [("und", 0.0)] * 2
