@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -34,6 +33,8 @@ from .common import PairMap, pieces, state, texts
 KEPT_PIECES = 300_000
 #: Pieces of more characters are encoded but not kept.
 KEPT_LENGTH = 48
+#: Bytes of text whose new words are replayed together.
+BATCH_BYTES = 6 << 20
 #: Words of more bytes are replayed one by one.
 LONG_WORD = 192
 
@@ -68,6 +69,8 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.of_decimal = {str(i): token for i, token in enumerate(self.tokens)}
+        #: Decimals of all ids, and at -1 what stands between words.
+        self.decimals = [*self.of_decimal, ";"]
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.table = PairTable(self.ranks)
         self.find = regex.compile(pattern).findall
@@ -75,17 +78,18 @@ class ByteBPE:
         self.known: dict[str, str] = {}
         self.kept = kept
 
-    def replay(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct word."""
-        out: dict[str, tuple[int, ...]] = {}
+    def replay(self, words: Iterable[str]) -> dict[str, str]:
+        """Decimal ids of each distinct word, joined by commas."""
+        out: dict[str, str] = {}
+        decimals = self.decimals
         open_words, raws = [], []
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             if whole is not None or not raw:
-                out[word] = (whole,) if raw else ()
+                out[word] = decimals[whole] if raw else ""
             elif len(raw) > LONG_WORD:
-                out[word] = self.replay_long(raw)
+                out[word] = ",".join(map(decimals.__getitem__, self.replay_long(raw)))
             else:
                 open_words.append(word)
                 raws.append(raw)
@@ -106,24 +110,32 @@ class ByteBPE:
         heap: list[int] = []
 
         def enter(places: np.ndarray, ranks: np.ndarray) -> None:
-            order = np.argsort(ranks, kind="stable")
+            some = ranks >= 0
+            places, ranks = places[some], ranks[some]
+            if not len(ranks):
+                return
+            order = ranks.argsort()
             places, ranks = places[order], ranks[order]
-            cuts = np.flatnonzero(np.diff(ranks)) + 1
-            first = np.concatenate(([0], cuts)) if len(ranks) else cuts
-            for rank, chunk in zip(ranks[first].tolist(), np.split(places, cuts), strict=False):
-                if rank >= 0:
-                    if rank not in index:
-                        heapq.heappush(heap, rank)
-                    index[rank].append(chunk)
-
-        enter(np.flatnonzero(rank_at >= 0), rank_at[rank_at >= 0])
+            cuts = [0, *((ranks[1:] != ranks[:-1]).nonzero()[0] + 1).tolist(), len(ranks)]
+            for rank, i, j in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+                if rank not in index:
+                    heapq.heappush(heap, rank)
+                index[rank].append(places[i:j])
+
+        enter(np.arange(n), rank_at)
         while heap:
             rank = heapq.heappop(heap)
             held = index.pop(rank)
-            places = np.unique(np.concatenate(held)) if len(held) > 1 else np.sort(held[0])
+            places = np.concatenate(held) if len(held) > 1 else held[0]
             places = places[rank_at[places] == rank]
             if not len(places):
                 continue
+            places.sort()
+            if len(places) > 1:
+                # a place may have been entered twice
+                fresh = np.ones(len(places), dtype=bool)
+                np.not_equal(places[1:], places[:-1], out=fresh[1:])
+                places = places[fresh]
             if rank in self.table.unordered or (rank_at[after[places]] == rank).any():
                 # the leftmost of each word only: its merge may make a pair that comes before the others of this rank
                 word = np.searchsorted(starts, places, side="right")
@@ -136,17 +148,13 @@ class ByteBPE:
             symbols[places], symbols[gone], rank_at[gone] = rank, -2, -1
             after[places], before[right] = right, places
             at = np.concatenate((before[places], places))
-            at = np.unique(at[symbols[at] >= 0])
+            at = at[symbols[at] >= 0]
             new = self.table.get(symbols[at], symbols[after[at]])
             rank_at[at] = new
             enter(at, new)
-        live = symbols >= 0
-        ids = symbols[live].tolist()
-        ends = np.cumsum(live)[starts + sizes - 1].tolist()
-        start = 0
-        for word, end in zip(open_words, ends, strict=True):
-            out[word] = tuple(ids[start:end])
-            start = end
+        # walls stand between the words
+        ids = ",".join(map(decimals.__getitem__, symbols[symbols >= -1].tolist()))
+        out.update(zip(open_words, ids[2:-2].split(",;,"), strict=True))
         return out
 
     def replay_long(self, raw: bytes) -> tuple[int, ...]:
@@ -187,30 +195,41 @@ class ByteBPE:
 
         A space or a line break between two characters that aren't white space always begins a match, or is one.
         """
-        if LOOSE(text) or "\0" in text:
-            # the pattern looks past white space here: cut the text itself
+        words = text.split()
+        if "\0" in text or " ".join(words) != text.replace("\n", " "):
+            # the pattern looks past white space here, at either end or two in a row: cut the text itself
             return ["\0" + word for word in self.find(text)]
-        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+        if "\n" in text:
+            return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+        words[0] = "\0" + words[0]
+        return words
 
     def encode_decimal(self, batch: list[str]) -> Iterator[str]:
         """Decimal ids of each text, joined by commas, by replaying the merges over all words of the batch not yet known."""
-        split = [self._cut(text) if text else [] for text in batch]
+        place: dict[str, str] = {}
+        # equal pieces become one object
+        split = [list(map(place.setdefault, words, words)) for words in (self._cut(text) if text else [] for text in batch)]
         if len(self.known) > self.kept:
             self.known = {}
-        known = self.known
-        fresh = set(chain.from_iterable(split)).difference(known)
-        long: dict[str, str] = {}
-        if fresh:
-            parts = {key: self.find(key[1:] if key[:1] == "\0" else " " + key) for key in fresh}
-            as_key = {word: word[1:] if word[:1] == " " and len(word) > 1 else "\0" + word for word in set(chain.from_iterable(parts.values()))}
-            ids = {word: ",".join(map(str, x)) for word, x in self.replay([w for w, key in as_key.items() if key not in known]).items()}
-            for word, key in as_key.items():
-                if word not in ids:
-                    ids[word] = known[key]
-                elif len(key) <= KEPT_LENGTH:
-                    known[key] = ids[word]
-            for key, words in parts.items():
-                (known if len(key) <= KEPT_LENGTH else long)[key] = ",".join(map(ids.__getitem__, words))
+        known, find = self.known, self.find
+        fresh = place.keys() - known.keys()
+        del place
+        cut: dict[str, list[str]] = {}
+        wanted = set()
+        for key in fresh:
+            words = [as_key(word) for word in find(as_word(key))]
+            wanted.update(words)
+            if words != [key]:
+                cut[key] = words
+        wanted.difference_update(known)
+        replayed = self.replay(map(as_word, wanted))
+        ids = {key: replayed[as_word(key)] for key in wanted}
+        del replayed
+        whole = {key: ",".join([ids[w] if w in ids else known[w] for w in words]) for key, words in cut.items()}
+        ids |= whole
+        long = {key: x for key, x in ids.items() if len(key) > KEPT_LENGTH}
+        known.update(ids if not long else ((key, x) for key, x in ids.items() if key not in long))
+        del ids, whole, cut, fresh, wanted
         for words in split:
             if long:
                 yield ",".join([long[w] if w in long else known[w] for w in words])
@@ -228,8 +247,12 @@ class ByteBPE:
         return b"".join(map(self.of_decimal.__getitem__, ids))
 
 
-#: White space where the pattern may look past it: at either end, or two in a row.
-LOOSE = re.compile(r"\A\s|\s\s|\s\Z|[^\S \n]").search
+def as_key(word: str) -> str:
+    return word[1:] if word[:1] == " " and word[1:2] not in ("", "\0") else "\0" + word
+
+
+def as_word(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else " " + key
 
 
 def encoder(path: str, pattern: str) -> ByteBPE:
@@ -279,7 +302,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH_BYTES):
             counts, ids_digest, decoded_digest = [], [], []
             for joined in bpe.encode_decimal(texts(batch.column(1))):
                 ids = joined.split(",") if joined else []
@@ -300,7 +323,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, *, text: str = "text", key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH_BYTES):
             counts = [ids.count(",") + 1 if ids else 0 for ids in bpe.encode_decimal(texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 

@@ -39,6 +39,17 @@ def test_replay_equals_the_library(library):
     assert [bpe.decode(x).decode() for x in got] == texts
 
 
+def test_pieces_kept_from_other_batches(library):
+    rng = random.Random(9)
+    bpe = byte_bpe.ByteBPE(MULTI, public.PATTERN)
+    batches = [["x \0\0 \0a \0"], ["\0", "\0a", "a", ""], ["\n", " a", "a\nb c", "a\x1cb \u2003c", "a\rb"], [" " + "Zq" * 90 + " b", "Zq" * 90, "b " * 50 + "end"]]
+    batches += [["".join(rng.choice("ab \n\0'\t5\u00e9\u4f60") for _ in range(rng.randint(0, 12))) for _ in range(40)] for _ in range(50)]
+    for batch in batches:
+        assert list(bpe.encode_decimal(batch)) == [",".join(map(str, library.encode_ordinary(text))) for text in batch], batch
+    words = ["hello", "hellohello", "x" * 500, "", "zzqj" * 30, "\u4f60\u597d", " the", "aaaaaaa"]
+    assert bpe.replay(words) == {word: ",".join(map(str, library._encode_single_piece(word.encode()) if word else [])) for word in words}
+
+
 def test_byte_bpe_over_odd_rows(odd, nothing, library):
     rows = byte_bpe.round_trip(odd, MULTI, public.PATTERN).collect()
     assert len(rows) == odd.count()
